@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sediment.llm import warc
+from sediment.llm import media, quality, warc
 
-QUERIES = {"op5_warc": warc.op5_warc}
+QUERIES = {"op5_warc": warc.op5_warc, "op7_media": media.op7_media, "op10_quality": quality.op10_quality}
 ORACLES = {"op5_warc": warc.OP5_SQL}
