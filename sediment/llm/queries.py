@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sediment.llm import media, quality, warc
+from sediment.llm import decontaminate, media, quality, warc
 
-QUERIES = {"op5_warc": warc.op5_warc, "op7_media": media.op7_media, "op10_quality": quality.op10_quality}
-ORACLES = {"op5_warc": warc.OP5_SQL}
+QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate, "op5_warc": warc.op5_warc, "op7_media": media.op7_media, "op10_quality": quality.op10_quality}
+ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL, "op5_warc": warc.OP5_SQL}
