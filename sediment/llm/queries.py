@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sediment.llm import decontaminate, media, quality, warc
+from sediment.llm import decontaminate, licenses, media, quality, warc
 
-QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate, "op5_warc": warc.op5_warc, "op7_media": media.op7_media, "op10_quality": quality.op10_quality}
-ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL, "op5_warc": warc.OP5_SQL}
+QUERIES = {"op8_license": licenses.op8_license, "op1_decontaminate": decontaminate.op1_decontaminate, "op5_warc": warc.op5_warc, "op7_media": media.op7_media, "op10_quality": quality.op10_quality}
+ORACLES = {"op8_license": licenses.op8_sql(), "op1_decontaminate": decontaminate.OP1_SQL, "op5_warc": warc.OP5_SQL}
