@@ -78,3 +78,18 @@ def make_remote_dir(uri: str) -> None:
 def partitions_for(df: DataFrame) -> int:
     """Shuffle partitions of the session, as an int."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sliced(batches, column: str, limit: int = 4 << 20):
+    """Arrow batches cut into runs of rows with about ``limit`` bytes in ``column`` (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        at = 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
