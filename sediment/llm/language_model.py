@@ -19,7 +19,6 @@ counted and scored each. An empty table gives no rows. Extra columns are ignored
 from __future__ import annotations
 
 import math
-import struct
 import uuid
 
 import numpy as np
@@ -29,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.llm.common import drop_scratch, materialize, partitions_for, sliced
+from sediment.llm.exchange import BLOB_SCHEMA, from_planes, key_parts, pack, planes, rows_batch, unpack
 
 CHUNK_BYTES = 8 << 20
 #: Tokens that the keys of one part come from, about.
@@ -37,46 +37,9 @@ BUCKETS = 24
 TRAIN, HELD_OUT, DEV = 0, 1, 2
 END = ""  # no token is empty
 
-BLOB_SCHEMA = "chunk string, kind int, part int, blob binary, words binary"
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def pack(*parts: np.ndarray | bytes) -> bytes:
-    """Byte strings and arrays as one Zstandard frame."""
-    import zstandard
-
-    raw = [p if isinstance(p, bytes) else np.ascontiguousarray(p).tobytes() for p in parts]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<I{len(raw)}Q", len(raw), *map(len, raw)) + b"".join(raw))
-
-
-def unpack(blob: bytes) -> list[bytes]:
-    import zstandard
-
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    (n,) = struct.unpack_from("<I", data)
-    out, at = [], 4 + 8 * n
-    for size in struct.unpack_from(f"<{n}Q", data, 4):
-        out.append(data[at : at + size])
-        at += size
-    return out
-
-
-def planes(a: np.ndarray) -> bytes:
-    """The bytes of an array by significance, which packs better."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
-
-
-def from_planes(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["chunk", "kind", "part", "blob", "words"])
-
-
 def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All tokens of all texts, without ends, and the number of each text."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -148,11 +111,6 @@ def pair_keys(words: list[str], chunk: Chunk) -> np.ndarray:
         return key ^ (key >> np.uint64(32))
 
 
-def key_parts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each key; rises with the key."""
-    return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-
-
 def word_parts(words: list[str], parts: int) -> np.ndarray:
     import xxhash
 
