@@ -331,7 +331,7 @@ TOKEN_SCHEMA = "_k1 long, _k2 long, doc_id long, piece int, pieces int, tokens b
 
 
 def batch_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
     named = [f.split() for f in schema.split(", ")]
     cols = list(zip(*rows, strict=True)) or [()] * len(named)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, named, strict=True)], names=[n for n, _ in named])
@@ -413,11 +413,11 @@ def finish(pieces: DataFrame, model: bytes) -> DataFrame:
     return pieces.join(chosen, ["_k1", "_k2", "piece"]).mapInArrow(trace, TOKEN_SCHEMA)
 
 
-RESULT_SCHEMA = "_k1 long, _k2 long, doc_id long, n_tokens long, token_sha256 string, decoded_sha256 string, tokens binary, decoded string"
+RESULT_SCHEMA = "_k1 long, _k2 long, doc_id long, n_tokens long, token_sha256 string, decoded_sha256 string, tokens array<int>, decoded string"
 
 
 def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, with_text: bool = True) -> DataFrame:
-    """One row for each row of ``docs``: RESULT_SCHEMA; tokens are little-endian 32-bit ids.
+    """One row for each row of ``docs``: RESULT_SCHEMA; token_sha256 is taken over little-endian 32-bit ids.
 
     The decoded text comes from the tokens alone. With ``with_text`` false, tokens and decoded
     are null and only their digests are there.
@@ -435,7 +435,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id"
         tokens, text = (b"".join(by_piece[i][c] for i in sorted(by_piece)) for c in ("tokens", "decoded"))
         text = text[1:] if dummy and text else text
         first = rows[0]
-        return (first["_k1"], first["_k2"], first["doc_id"], len(tokens) // 4, hashlib.sha256(tokens).hexdigest(), hashlib.sha256(text).hexdigest(), *((tokens, text.decode()) if with_text else (None, None)))
+        return (first["_k1"], first["_k2"], first["doc_id"], len(tokens) // 4, hashlib.sha256(tokens).hexdigest(), hashlib.sha256(text).hexdigest(), *((np.frombuffer(tokens, np.int32), text.decode()) if with_text else (None, None)))
 
     def per_text(table):
         rows = table.to_pylist()

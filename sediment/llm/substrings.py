@@ -250,7 +250,7 @@ def spans_of(chunk: Chunk, rows: list[dict], parts: int) -> tuple[np.ndarray, np
     return low[new], high[np.append(new[1:], len(low)) - 1]
 
 
-RESULT_SCHEMA = "_k1 long, _k2 long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT_SCHEMA = "_k1 long, _k2 long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def cut_out(length: int, parts: int, with_kept: bool):
@@ -263,7 +263,7 @@ def cut_out(length: int, parts: int, with_kept: bool):
         data = chunk.data.tobytes()
         of = np.searchsorted(chunk.starts, low, side="right") - 1
         bounds = np.searchsorted(of, np.arange(len(chunk.sizes) + 1))
-        removed, spans, digests, kept_bytes = [], [], [], []
+        removed, spans, digests, kept_texts = [], [], [], []
         for d, (start, end) in enumerate(zip(chunk.starts.tolist(), chunk.ends.tolist(), strict=True)):
             kept, at = [], start
             for i in range(bounds[d], bounds[d + 1]):
@@ -274,15 +274,18 @@ def cut_out(length: int, parts: int, with_kept: bool):
             removed.append(end - start - len(kept))
             spans.append(int(bounds[d + 1] - bounds[d]))
             digests.append(hashlib.sha256(kept).hexdigest())
-            kept_bytes.append(kept if with_kept else None)
-        cols = [pa.array(np.frombuffer(k1, np.int64)), pa.array(np.frombuffer(k2, np.int64)), pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(null, bool)), pa.array(chunk.sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_bytes, pa.binary())]
+            kept_texts.append(kept.decode(errors="ignore") if with_kept else None)
+        cols = [pa.array(np.frombuffer(k1, np.int64)), pa.array(np.frombuffer(k2, np.int64)), pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(null, bool)), pa.array(chunk.sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())]
         return pa.Table.from_arrays(cols, names=[f.split()[0] for f in RESULT_SCHEMA.split(", ")])
 
     return finish
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = True) -> DataFrame:
-    """Per row: _k1, _k2, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, null unless asked for)."""
+    """Per row: _k1, _k2, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
+
+    kept is the remaining text, null unless asked for; bytes of a character that was cut are left out of it.
+    """
     if not 150 <= length <= 240:
         raise ValueError("length must be between 150 and 240 bytes")
     rows = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data"))
