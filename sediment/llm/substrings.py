@@ -40,6 +40,8 @@ LENGTH = 200
 GRAM = 40
 BLOCK = 16
 CHUNK_BYTES = 4 << 20
+#: Bytes whose identifiers are made at once; they should fit a core's cache.
+STRETCH = 1 << 17
 #: Bytes of text whose keys one part answers for, about.
 PART_BYTES = 32 << 20
 
@@ -99,8 +101,9 @@ class Chunk:
         self.data, self.sizes, self.length = np.frombuffer(data, np.uint8), np.frombuffer(sizes, np.int64), length
         self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
         self.ends = self.starts + self.sizes
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes + 1)
 
-    def stretches(self, size: int = CHUNK_BYTES // 4):
+    def stretches(self, size: int = STRETCH):
         """(Text, base, low, high, p, first, last, doc, key) of each stretch of starts: its anchors and the starts they stand for."""
         length, width = self.length, self.length - GRAM + 1
         for low in range(0, len(self.data), size):
@@ -109,7 +112,7 @@ class Chunk:
             text = Text(self.data[base:end])
             grams = text.grams()
             start = np.arange(low, high)
-            doc = np.searchsorted(self.starts, start, side="right") - 1
+            doc = self.doc[low:high]
             ok = start + length <= self.ends[doc]
             start, doc = start[ok], doc[ok]
             if not len(start):
