@@ -1 +1 @@
-
+"""Relational operators over catalogs, snapshots and journals."""

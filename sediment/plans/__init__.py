@@ -1,6 +1,9 @@
-"""Named query plans over the driver's tables."""
+"""Named query plans over the driver's tables, each with the SQL it must agree with."""
 
-from sediment.plans import catalog
+from sediment.plans import archives, catalog, layout, scalar, snapshot
 
-QUERIES = dict(catalog.QUERIES)
-ORACLES = dict(catalog.ORACLES)
+QUERIES: dict = {}
+ORACLES: dict = {}
+for module in (catalog, snapshot, layout, scalar, archives):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
