@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from sediment.llm.common import drop_scratch, materialize, partitions_for, sliced
 from sediment.llm.exchange import BLOB_SCHEMA, from_planes, key_parts, pack, planes, rows_batch, unpack
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Tokens that the keys of one part come from, about.
-PART_TOKENS = 3_000_000
+PART_TOKENS = 1_500_000
 BUCKETS = 24
 TRAIN, HELD_OUT, DEV = 0, 1, 2
 END = ""  # no token is empty
