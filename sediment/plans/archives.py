@@ -1,4 +1,119 @@
 """Archives written from the tables and read back."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from sediment.plans.catalog import read
+from sediment.sources import blocks, codecs, saveset
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Documents of one saveset, about.
+DOCUMENTS_A_SET = 2000
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def folder(spark) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="savesets-")
+    return f"{root.rstrip('/')}/savesets-{uuid.uuid4().hex}"
+
+
+def saved(spark, sf_dir, layout: blocks.Layout) -> str:
+    """Documents as files of savesets; returns their folder."""
+    docs = read(spark, sf_dir, "documents")
+    sets = max(8, docs.count() // DOCUMENTS_A_SET)
+    files = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(sets)).alias("part"), F.concat_ws("/", "lang", "doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    where = folder(spark)
+    saveset.write(files, where, "part", layout).write.parquet(f"{where}-written")
+    return where
+
+
+IDENTITY = "SELECT lang || '/' || doc_id AS path, strlen(text)::BIGINT AS size, sha256(text) AS digest, true AS intact FROM documents"
+
+
+def delivered(spark, where: str):
+    return saveset.read(spark, where).select("path", "size", F.sha2("content", 256).alias("digest"), "intact")
+
+
+@query(IDENTITY)
+def saveset_roundtrip(spark, sf_dir):
+    """Documents through compressed savesets with parity and back."""
+    return delivered(spark, saved(spark, sf_dir, blocks.Layout(block=16384, group=5, codec=codecs.DEFLATE)))
+
+
+@query(IDENTITY)
+def saveset_solid(spark, sf_dir):
+    """The same with small files compressed together, in volumes."""
+    return delivered(spark, saved(spark, sf_dir, blocks.Layout(block=8192, group=4, volume=8192 * 16, codec=codecs.LZMA, solid=True)))
+
+
+def damaged(where: str, layout: blocks.Layout, lost: int) -> str:
+    """A copy of the savesets in which ``lost`` blocks of each full group are overwritten."""
+    from pyarrow import fs
+
+    store, path = saveset.open_store(where)
+    target = f"{where}-damaged"
+    store.create_dir(saveset.open_store(target)[1])
+    for info in store.get_file_info(fs.FileSelector(path)):
+        volume = bytearray(saveset.read_all(info.path))
+        span = layout.group + layout.parity
+        for g in range((len(volume) // layout.block - 2) // span):
+            for i in range(lost):
+                at = (1 + g * span + i * 2) * layout.block
+                volume[at : at + layout.block] = b"\xff" * layout.block
+        with store.open_output_stream(f"{saveset.open_store(target)[1]}/{info.base_name}", compression=None) as out:
+            out.write(bytes(volume))
+    return target
+
+
+@query(IDENTITY)
+def saveset_repair(spark, sf_dir):
+    """Two lost blocks in every full group, repaired by two parity rows."""
+    layout = blocks.Layout(block=8192, group=5, parity=2)
+    return delivered(spark, damaged(saved(spark, sf_dir, layout), layout, 2))
+
+
+@query()
+def saveset_loss(spark, sf_dir):
+    """More lost blocks than parity: every catalogued file is delivered intact, named damaged or named lost."""
+    layout = blocks.Layout(block=8192, group=5, parity=1)
+    where = damaged(saved(spark, sf_dir, layout), layout, 2)
+    got = saveset.read(spark, where).select("saveset", "fileno", "intact")
+    listed = saveset.read(spark, where, "catalog").select("saveset", "fileno")
+    verdict = F.when(F.col("intact"), "intact").when(~F.col("intact"), "damaged").otherwise("lost")
+    return listed.join(got, ["saveset", "fileno"], "left").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT 'catalog' AS kind, count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM documents")
+def catalog_scan(spark, sf_dir):
+    """Entries and bytes from the catalogs alone."""
+    where = saved(spark, sf_dir, blocks.Layout(block=16384, codec=codecs.DEFLATE))
+    entries = saveset.read(spark, where, "catalog")
+    return entries.select(F.lit("catalog").alias("kind"), "size").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT t AS type, count(*) AS n FROM (SELECT unnest([2, 4]) AS t FROM documents) GROUP BY t")
+def records_scan(spark, sf_dir):
+    """FILE and FEND records by type."""
+    where = saved(spark, sf_dir, blocks.Layout(block=8192, group=3))
+    return saveset.read(spark, where, "records").filter("type IN (2, 4)").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def transfer_totals(spark, sf_dir):
+    """Blocks by type, and how many are not valid."""
+    where = saved(spark, sf_dir, blocks.Layout(block=8192, group=3))
+    return saveset.read(spark, where, "blocks").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("bad"))

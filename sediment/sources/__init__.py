@@ -1 +1 @@
-
+"""Sources and sinks for block-structured savesets."""
