@@ -24,13 +24,14 @@ KEYS = ["_k1", "_k2"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("*", *row_key("doc_id", "text"))
+    """Rows as structs beside their keys, so that no column's name can clash."""
+    return docs.select(F.struct("*").alias("row"), *row_key("doc_id", "text"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards the good ones selects."""
     scored = quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return keyed(docs).join(scored.filter("NOT selected").select(*KEYS), KEYS, "left_anti").drop(*KEYS)
+    return keyed(docs).join(scored.filter("NOT selected").select(*KEYS), KEYS, "left_anti").select("row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,20 +41,21 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     out = keyed(docs).join(once.select(*KEYS), KEYS, "left_semi")
     if once.filter("count > 1").limit(1).count():  # rows repeated with id and text
         out = out.dropDuplicates(KEYS)
-    return out.drop(*KEYS)
+    return out.select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings that start twice; documents that nothing is left of go."""
     cut = substrings.remove_repeats(docs).filter("n_removed = 0 OR n_removed < n_bytes").select(*KEYS, F.col("kept").alias("_kept")).dropDuplicates(KEYS)
-    out = keyed(docs).drop("text").join(cut, KEYS)
-    return out.select(*(F.col("_kept").alias(c) if c == "text" else F.length("_kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    out = keyed(docs).join(cut, KEYS)
+    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return keyed(docs).join(found.filter("n_hit > 0").select(*KEYS), KEYS, "left_anti").drop(*KEYS)
+    return keyed(docs).join(found.filter("n_hit > 0").select(*KEYS), KEYS, "left_anti").select("row.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
