@@ -71,13 +71,19 @@ def date_text(time: Column) -> Column:
     return F.lpad(F.upper(F.date_format(time, "d-MMM-yyyy HH:mm:ss.SS")), 23, " ")
 
 
-def protection_mode(protection: Column) -> Column:
-    """POSIX mode of a protection mask (deny bits read, write, execute, delete for system, owner, group, world)."""
+def protection_mode(protection: Column, is_dir: Column | bool = False) -> Column:
+    """POSIX mode of a protection mask (deny bits read, write, execute, delete for system, owner, group, world).
+
+    Execute counts for directories only; a directory keeps all for its owner.
+    """
+    directory = F.lit(is_dir) if isinstance(is_dir, bool) else is_dir
+
     def triad(shift: int) -> Column:
         deny = F.shiftright(protection, shift).bitwiseAND(15)
-        return F.when(deny.bitwiseAND(1) == 0, 4).otherwise(0) + F.when(deny.bitwiseAND(2) == 0, 2).otherwise(0) + F.when(deny.bitwiseAND(4) == 0, 1).otherwise(0)
+        return F.when(deny.bitwiseAND(1) == 0, 4).otherwise(0) + F.when(deny.bitwiseAND(2) == 0, 2).otherwise(0) + F.when(directory & (deny.bitwiseAND(4) == 0), 1).otherwise(0)
 
-    return (triad(4) * 64 + triad(8) * 8 + triad(12)).cast("int")
+    mode = triad(4) * 64 + triad(8) * 8 + triad(12)
+    return F.when(directory, mode.bitwiseOR(0o700)).otherwise(mode).cast("int")
 
 
 def unix_name(spec: Column) -> Column:

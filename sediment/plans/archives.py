@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sediment.plans.catalog import read
-from sediment.sources import blocks, codecs, saveset
+from sediment.sources import blocks, codecs, crypto, saveset, vms
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -60,6 +60,22 @@ def saveset_solid(spark, sf_dir):
     return delivered(spark, saved(spark, sf_dir, blocks.Layout(block=8192, group=4, volume=8192 * 16, codec=codecs.LZMA, solid=True)))
 
 
+@query(IDENTITY)
+def encrypt_roundtrip(spark, sf_dir):
+    """Documents through encrypted savesets."""
+    keys = crypto.Keys.derive(b"a few random words", rounds=2000)
+    where = saved(spark, sf_dir, blocks.Layout(block=16384, group=5, codec=codecs.DEFLATE, keys=keys))
+    return saveset.read(spark, where, passphrase="a few random words").select("path", "size", F.sha2("content", 256).alias("digest"), "intact")
+
+
+@query("SELECT doc_id, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || CASE WHEN text = '' OR right(text, 1) IN (chr(10), chr(13)) THEN '' ELSE chr(10) END) AS digest FROM documents")
+def vms_records_to_text(spark, sf_dir):
+    """Documents as variable-length records of a foreign saveset and back to text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    files = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("part"), "doc_id", "content")
+    return vms.roundtrip(files).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
 def damaged(where: str, layout: blocks.Layout, lost: int) -> str:
     """A copy of the savesets in which ``lost`` blocks of each full group are overwritten."""
     from pyarrow import fs

@@ -74,11 +74,11 @@ def vms_date(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, (CASE WHEN (p_partkey >> 4) & 1 = 0 THEN 256 ELSE 0 END + CASE WHEN (p_partkey >> 4) & 2 = 0 THEN 128 ELSE 0 END + CASE WHEN (p_partkey >> 4) & 4 = 0 THEN 64 ELSE 0 END
+SELECT p_partkey, (CASE WHEN p_size % 2 = 1 THEN mode | 448 ELSE mode & ~73 END)::INT AS mode FROM (SELECT p_partkey, p_size, (CASE WHEN (p_partkey >> 4) & 1 = 0 THEN 256 ELSE 0 END + CASE WHEN (p_partkey >> 4) & 2 = 0 THEN 128 ELSE 0 END + CASE WHEN (p_partkey >> 4) & 4 = 0 THEN 64 ELSE 0 END
   + CASE WHEN (p_partkey >> 8) & 1 = 0 THEN 32 ELSE 0 END + CASE WHEN (p_partkey >> 8) & 2 = 0 THEN 16 ELSE 0 END + CASE WHEN (p_partkey >> 8) & 4 = 0 THEN 8 ELSE 0 END
-  + CASE WHEN (p_partkey >> 12) & 1 = 0 THEN 4 ELSE 0 END + CASE WHEN (p_partkey >> 12) & 2 = 0 THEN 2 ELSE 0 END + CASE WHEN (p_partkey >> 12) & 4 = 0 THEN 1 ELSE 0 END)::INT AS mode FROM part""")
+  + CASE WHEN (p_partkey >> 12) & 1 = 0 THEN 4 ELSE 0 END + CASE WHEN (p_partkey >> 12) & 2 = 0 THEN 2 ELSE 0 END + CASE WHEN (p_partkey >> 12) & 4 = 0 THEN 1 ELSE 0 END)::INT AS mode FROM part)""")
 def vms_mode(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", scalars.protection_mode(F.col("p_partkey")).alias("mode"))
+    return read(spark, sf_dir, "part").select("p_partkey", scalars.protection_mode(F.col("p_partkey"), F.col("p_size") % 2 == 1).alias("mode"))
 
 
 @query("""

@@ -14,12 +14,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from sediment.sources import codecs, galois
+from sediment.sources import codecs, crypto, galois
 
 #: Fixed values of the format.
 MAGIC = b"VBKB"
 HEADER = struct.Struct("<4sHHIBBH16sQIIIIII")
-DATA, XOR, VHDR, TRAILER, PARITY = 1, 2, 3, 4, 7
+DATA, XOR, VHDR, TRAILER, EDATA, ETRAILER, PARITY = 1, 2, 3, 4, 5, 6, 7
 SUMMARY, FILE, DATA_RECORD, FEND, CATALOG, END, DATAZ, SOLID = 1, 2, 3, 4, 5, 6, 7, 8
 NONE = 0xFFFFFFFF
 LAST_IN_VOLUME, LAST_IN_SET = 1, 2
@@ -27,11 +27,11 @@ MAX_RECORD, MAX_DATA, MAX_SOLID_RAW, MAX_SOLID = 16 << 20, 1 << 20, 1_114_112, 2
 TAGS = {
     "fileno": 1, "path": 2, "ftype": 3, "mode": 4, "uid": 5, "gid": 6, "uname": 7, "gname": 8, "size": 9, "mtime": 10, "atime": 11, "ctime": 12, "btime": 13, "rdev": 14, "link": 15,
     "xattr": 16, "fsflags": 17, "devino": 18, "baseidx": 19, "nlink": 20, "winattr": 21, "ntsd": 22, "solid": 23, "crc": 32, "status": 33, "locvol": 34, "locblk": 35, "locoff": 36,
-    "product": 64, "created": 68, "base": 69, "blocksize": 70, "groupsize": 71, "volsize": 72, "comment": 73, "kind": 75, "compress": 77, "parity": 93,
+    "product": 64, "created": 68, "base": 69, "blocksize": 70, "groupsize": 71, "volsize": 72, "comment": 73, "kind": 75, "compress": 77, "cipher": 88, "kdf": 89, "kdfiter": 90, "salt": 91, "keycheck": 92, "parity": 93,
     "nfiles": 96, "nbytes": 97, "nerrors": 98, "nblocks": 99, "catvol": 100, "catblk": 101, "catoff": 102, "nvols": 103, "nentries": 104,
 }
-WIDTHS = {"ftype": 1, "solid": 1, "status": 1, "kind": 1, "compress": 1, "parity": 1, "baseidx": 2, "size": 8, "rdev": 8, "locblk": 8, "volsize": 8, "nfiles": 8, "nbytes": 8, "nblocks": 8, "catblk": 8, "nentries": 8}
-RAW = {"path", "uname", "gname", "link", "xattr", "ntsd", "product", "base", "comment", "devino"}
+WIDTHS = {"ftype": 1, "solid": 1, "status": 1, "kind": 1, "compress": 1, "cipher": 1, "kdf": 1, "parity": 1, "baseidx": 2, "size": 8, "rdev": 8, "locblk": 8, "volsize": 8, "nfiles": 8, "nbytes": 8, "nblocks": 8, "catblk": 8, "nentries": 8}
+RAW = {"path", "uname", "gname", "link", "xattr", "ntsd", "product", "base", "comment", "devino", "salt", "keycheck"}
 TIMES = {"mtime", "atime", "ctime", "btime", "created"}
 NAMES = {v: k for k, v in TAGS.items()}
 
@@ -86,6 +86,10 @@ class Block:
     version: int = 1
     ssuuid: bytes = bytes(16)
 
+    @property
+    def used(self) -> int:
+        return len(self.payload) if self.paylen < 0 else self.paylen
+
     def sealed(self, size: int) -> bytes:
         paylen = len(self.payload) if self.paylen < 0 else self.paylen
         body = self.payload.ljust(size - 64, b"\0")
@@ -108,6 +112,8 @@ def opened(data: bytes, size: int, ssuuid: bytes | None = None) -> Block | None:
         if paylen > len(payload) or kind == DATA and recoff != NONE and recoff >= paylen:
             return None
         payload = payload[:paylen]
+    elif kind in (EDATA, ETRAILER) and paylen > len(payload) - crypto.TAG_BYTES:
+        return None
     return Block(kind, blkno, volno, payload, gindex, recoff, flags, prvrecoff, prvpaylen, paylen, version, owner)
 
 
@@ -119,6 +125,7 @@ class Layout:
     volume: int = 0  # bytes; 0: one volume
     codec: int = 0  # 0: not compressed
     solid: bool = False
+    keys: crypto.Keys | None = None
     ssuuid: bytes = field(default_factory=lambda: uuid.uuid4().bytes)
 
     @property
@@ -129,6 +136,16 @@ class Layout:
     def parities(self) -> int:
         return self.parity if self.group else 0
 
+    @property
+    def wide(self) -> int:
+        """Bytes of a payload that hold records."""
+        return self.block - 64 - (crypto.TAG_BYTES if self.keys else 0)
+
+    @property
+    def key_tags(self) -> dict:
+        k = self.keys
+        return {"cipher": crypto.CHACHA20, "kdf": crypto.PBKDF2, "kdfiter": k.rounds, "salt": k.salt, "keycheck": k.check} if k else {}
+
 
 class Writer:
     """Cuts a record stream into blocks, groups and volumes."""
@@ -147,6 +164,15 @@ class Writer:
         self.volumes[-1].append(block)
         return block
 
+    def locked(self, block: Block) -> Block:
+        """An encrypted block: ciphertext, zeros, tag; headers and parity are made over these bytes."""
+        layout = self.layout
+        block.type, block.paylen = {DATA: EDATA, TRAILER: ETRAILER}[block.type], len(block.payload)
+        secret = layout.keys.crypt(block.blkno, block.payload)
+        tag = layout.keys.tag(layout.ssuuid, layout.block, block.blkno, block.volno, block.type, block.gindex, block.recoff, secret)
+        block.payload = secret.ljust(layout.wide, b"\0") + tag
+        return block
+
     def new_volume(self) -> None:
         self.volumes.append([])
         self.put(VHDR, struct.pack("<HHI", SUMMARY, 0, len(self.summary)) + self.summary)
@@ -158,7 +184,9 @@ class Writer:
         if not self.group and len(self.volumes[-1]) + 1 + layout.parities > self.room:
             self.new_volume()
         last = self.group[-1] if self.group else None
-        block = self.put(DATA, bytes(self.buffer), gindex=len(self.group) if layout.group else 0, recoff=self.recoff, prvrecoff=last.recoff if last else NONE, prvpaylen=len(last.payload) if last else 0)
+        block = self.put(DATA, bytes(self.buffer), gindex=len(self.group) if layout.group else 0, recoff=self.recoff, prvrecoff=last.recoff if last else NONE, prvpaylen=last.used if last else 0)
+        if layout.keys:
+            self.locked(block)
         self.buffer, self.recoff = bytearray(), NONE
         if layout.group:
             self.group.append(block)
@@ -173,16 +201,16 @@ class Writer:
         body = np.zeros((n, wide + 8), np.uint8)
         for i, b in enumerate(self.group):
             body[i, : len(b.payload)] = np.frombuffer(b.payload, np.uint8)
-            body[i, wide:] = np.frombuffer(struct.pack("<II", b.recoff, len(b.payload)), np.uint8)
+            body[i, wide:] = np.frombuffer(struct.pack("<II", b.recoff, b.used), np.uint8)
         last = self.group[-1]
         for j, row in enumerate(galois.parity(body, layout.parity)):
             recoff, paylen = struct.unpack("<II", row[wide:].tobytes()) if layout.parity > 1 else (NONE, wide)
-            self.put(PARITY if j else XOR, row[:wide].tobytes(), gindex=n + 256 * j, recoff=recoff, paylen=paylen, prvrecoff=last.recoff, prvpaylen=len(last.payload))
+            self.put(PARITY if j else XOR, row[:wide].tobytes(), gindex=n + 256 * j, recoff=recoff, paylen=paylen, prvrecoff=last.recoff, prvpaylen=last.used)
         self.group = []
 
     def record(self, kind: int, body: bytes) -> tuple[int, int, int]:
         """Appends a record; returns its place (volume, block, offset)."""
-        wide = self.layout.block - 64
+        wide = self.layout.wide
         if wide - len(self.buffer) < 8:
             self.close_block()
         if not self.buffer and not self.group and len(self.volumes[-1]) + 1 + self.layout.parities > self.room:
@@ -205,7 +233,9 @@ class Writer:
         self.close_group()
         if len(self.volumes[-1]) + 1 > self.room:
             self.new_volume()
-        self.put(TRAILER, tlv(nblocks=self.blkno + 1, nvols=len(self.volumes), **totals), flags=LAST_IN_SET)
+        trailer = self.put(TRAILER, tlv(nblocks=self.blkno + 1, nvols=len(self.volumes), **totals), flags=LAST_IN_SET)
+        if self.layout.keys:
+            self.locked(trailer)
         for volume in self.volumes:
             volume[-1].flags |= LAST_IN_VOLUME
         return [b"".join(b.sealed(self.layout.block) for b in volume) for volume in self.volumes]
@@ -230,8 +260,9 @@ def file_records(fileno: int, attributes: dict, data: bytes | None, codec: int)
 def write(files: Iterable[tuple[dict, bytes | None]], layout: Layout | None = None, **summary) -> list[bytes]:
     """Volumes of a saveset of (attributes, content) pairs; attributes hold path, ftype, mode, uid, gid, mtime at least."""
     layout = layout or Layout()
-    head = tlv(product=b"sediment", blocksize=layout.block, groupsize=layout.group, volsize=layout.volume, parity=layout.parity if layout.parity > 1 else None, kind=0, compress=layout.codec or None, **summary)
-    out = Writer(layout, head)
+    head = tlv(product=b"sediment", blocksize=layout.block, groupsize=layout.group, volsize=layout.volume, parity=layout.parity if layout.parity > 1 else None, kind=0, compress=layout.codec or None, **layout.key_tags, **summary)
+    clear = tlv(product=b"sediment", blocksize=layout.block, groupsize=layout.group, volsize=layout.volume, parity=layout.parity if layout.parity > 1 else None, **layout.key_tags) if layout.keys else head
+    out = Writer(layout, clear)
     out.record(SUMMARY, head)
     entries, group, nbytes = [], [], 0
 
@@ -306,8 +337,16 @@ def guessed_size(volume: bytes) -> int | None:
     return None
 
 
-def groups_of(volumes: list[bytes], events: list[tuple]) -> Iterator[Block | int]:
-    """Data blocks in order, repaired where the parity allows; the number of blocks for a loss."""
+def unlocked(block: Block | None, size: int, keys: crypto.Keys | None) -> bytes | None:
+    """Plaintext of an encrypted block whose tag is right, else null."""
+    secret, tag = block.payload[: block.paylen], block.payload[-crypto.TAG_BYTES :]
+    right = keys.tag(block.ssuuid, size, block.blkno, block.volno, block.type, block.gindex, block.recoff, secret)
+    return keys.crypt(block.blkno, secret) if crypto.hmac.compare_digest(tag, right) else None
+
+
+def groups_of(volumes: list[bytes], events: list[tuple], passphrase: bytes | None = None, label: str = "SEDIMENT") -> Iterator[Block | int]:
+    """Data blocks in order, repaired where the parity allows, decrypted last; the number of blocks for a loss."""
+    keys = None
     known = next((s for s in map(summary_of, volumes) if s), None)
     if known is None:
         size = next((s for s in map(guessed_size, volumes) if s), None)
@@ -319,15 +358,34 @@ def groups_of(volumes: list[bytes], events: list[tuple]) -> Iterator[Block | int
     else:
         size, summary = known
         group, parity = summary.get("groupsize", 10), summary.get("parity", 1)
+        if "cipher" in summary:
+            if passphrase is None or summary["cipher"] != crypto.CHACHA20 or summary["kdf"] != crypto.PBKDF2:
+                raise ValueError("the saveset is encrypted")
+            keys = crypto.Keys.derive(passphrase, summary["salt"], summary["kdfiter"], label)
+            if keys.check != summary["keycheck"]:
+                raise ValueError("wrong passphrase")
     wide = size - 64
+    kind = EDATA if keys else DATA
+
+    def good(block: Block | None) -> Block | None:
+        """Null for a block of another saveset's kind or with a wrong tag."""
+        if block is not None and keys and block.type in (EDATA, ETRAILER) and unlocked(block, size, keys) is None:
+            return None
+        return block
+
+    def plain(block: Block) -> Block:
+        if keys:
+            block.payload = unlocked(block, size, keys)
+        return block
+
     for number, volume in enumerate(volumes, 1):
-        row = [opened(volume[a : a + size], size) for a in range(size, len(volume), size)]
-        if row and row[-1] is not None and row[-1].type == TRAILER:
+        row = [good(opened(volume[a : a + size], size)) for a in range(size, len(volume), size)]
+        if row and row[-1] is not None and row[-1].type in (TRAILER, ETRAILER):
             row.pop()
         elif row and row[-1] is None and number == len(volumes):
             row.pop()
         if not group:
-            yield from (b if b is not None else 1 for b in row if b is None or b.type == DATA)
+            yield from (plain(b) if b is not None else 1 for b in row if b is None or b.type == kind)
             continue
         for at in range(0, len(row), group + parity):
             span = row[at : at + group + parity]
@@ -336,10 +394,10 @@ def groups_of(volumes: list[bytes], events: list[tuple]) -> Iterator[Block | int
             if tail is not None:
                 n = min(n, tail.gindex & 255)
             data, rows = span[:n], {b.gindex >> 8: b for b in span[n:] if b is not None and b.type in (XOR, PARITY)}
-            lost = [i for i, b in enumerate(data) if b is None or b.type != DATA]
+            lost = [i for i, b in enumerate(data) if b is None or b.type != kind]
             if lost and len(lost) <= len(rows):
-                fixed = repaired(data, lost, rows, wide, parity)
-                if fixed is None:
+                fixed = repaired(data, lost, rows, wide, parity, kind)
+                if fixed is None or any(good(b) is None for b in fixed.values()):
                     events.append(("PARITY", number, at + 1))
                 else:
                     for i, b in fixed.items():
@@ -351,17 +409,17 @@ def groups_of(volumes: list[bytes], events: list[tuple]) -> Iterator[Block | int
                     events.append(("LOST", number, at + 1 + i))
                     yield 1
                 else:
-                    yield b
+                    yield plain(b)
 
 
-def repaired(data: list, lost: list[int], rows: dict[int, Block], wide: int, parity: int) -> dict[int, Block] | None:
+def repaired(data: list, lost: list[int], rows: dict[int, Block], wide: int, parity: int, kind: int) -> dict[int, Block] | None:
     """Lost blocks of a group, or null if what comes out is not right."""
     n = len(data)
     body = np.zeros((n, wide + 8), np.uint8)
     for i, b in enumerate(data):
         if i not in lost:
             body[i, : len(b.payload)] = np.frombuffer(b.payload, np.uint8)
-            body[i, wide:] = np.frombuffer(struct.pack("<II", b.recoff, len(b.payload)), np.uint8)
+            body[i, wide:] = np.frombuffer(struct.pack("<II", b.recoff, b.used), np.uint8)
     told = {j: np.concatenate([np.frombuffer(b.payload, np.uint8), np.frombuffer(struct.pack("<II", b.recoff, b.paylen) if parity > 1 else bytes(8), np.uint8)]) for j, b in rows.items()}
     body[lost] = galois.solve(body, lost, told)
     for j, row in told.items():
@@ -380,16 +438,17 @@ def repaired(data: list, lost: list[int], rows: dict[int, Block], wide: int, par
             recoff, paylen = after.prvrecoff, after.prvpaylen
         if paylen > wide or recoff != NONE and recoff >= paylen:
             return None
-        out[i] = Block(DATA, some.blkno - (some.gindex >> 8) - n + i, some.volno, body[i, :paylen].tobytes(), i, recoff, version=some.version, ssuuid=some.ssuuid)
+        kept = paylen if kind == DATA else wide
+        out[i] = Block(kind, some.blkno - (some.gindex >> 8) - n + i, some.volno, body[i, :kept].tobytes(), i, recoff, paylen=paylen, version=some.version, ssuuid=some.ssuuid)
     return out
 
 
-def records_of(volumes: list[bytes], events: list[tuple]) -> Iterator[tuple]:
+def records_of(volumes: list[bytes], events: list[tuple], passphrase: bytes | None = None, label: str = "SEDIMENT") -> Iterator[tuple]:
     """(type, body, volume, block, offset, resync, in solid) of every record that is whole."""
     parts: list[bytes] = []
     have, need, start, resync, skipping = 0, 0, None, False, False
     head = b""
-    for block in groups_of(volumes, events):
+    for block in groups_of(volumes, events, passphrase, label):
         if isinstance(block, int):
             parts, have, need, head, skipping = [], 0, 0, b"", True
             continue
@@ -458,10 +517,10 @@ def data_of(kind: int, body: bytes) -> tuple[int, int, bytes]:
     return fileno, at, codecs.decode(body[20:], codec, size)
 
 
-def files_of(volumes: list[bytes], events: list[tuple]) -> Iterator[dict]:
+def files_of(volumes: list[bytes], events: list[tuple], passphrase: bytes | None = None, label: str = "SEDIMENT") -> Iterator[dict]:
     """Whole files: attributes, content, and whether size and CRC are right."""
     now: dict | None = None
-    for kind, body, *_, resync, _ in records_of(volumes, events):
+    for kind, body, *_, resync, _ in records_of(volumes, events, passphrase, label):
         if kind == FILE:
             now = {**tlv_items(body), "parts": []}
         elif now and kind in (DATA_RECORD, DATAZ):
@@ -482,8 +541,8 @@ def files_of(volumes: list[bytes], events: list[tuple]) -> Iterator[dict]:
             now = None
 
 
-def catalog_of(volumes: list[bytes], events: list[tuple]) -> Iterator[dict]:
-    for kind, body, *_ in records_of(volumes, events):
+def catalog_of(volumes: list[bytes], events: list[tuple], passphrase: bytes | None = None, label: str = "SEDIMENT") -> Iterator[dict]:
+    for kind, body, *_ in records_of(volumes, events, passphrase, label):
         at = 0
         while kind == CATALOG and at + 4 <= len(body):
             (n,) = struct.unpack_from("<I", body, at)

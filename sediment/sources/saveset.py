@@ -1,7 +1,7 @@
 """Data source ``saveset``: a folder of savesets as tables.
 
 Options: ``path`` (a folder or one first volume, any URI), ``table`` (files, records, blocks,
-catalog or events). One saveset is one partition, planned on the driver from the folder's
+catalog or events), ``passphrase`` and ``keyLabel`` for encrypted savesets. One saveset is one partition, planned on the driver from the folder's
 names; blocks of one volume are one partition. An exact filter on ``saveset`` prunes partitions.
 """
 
@@ -49,6 +49,8 @@ def read_all(path: str) -> bytes:
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table = options["path"].rstrip("/"), options.get("table", "files")
+        secret = options.get("passphrase")
+        self.key = {"passphrase": secret.encode() if secret else None, "label": options.get("keyLabel", "SEDIMENT")}
         self.only: set[str] | None = None
 
     def pushFilters(self, filters):
@@ -90,17 +92,17 @@ class Reader(DataSourceReader):
         if self.table == "blocks":
             yield from self.blocks(name, volumes[0])
         elif self.table == "records":
-            for seq, (kind, body, vol, blk, off, resync, insolid) in enumerate(blocks.records_of(volumes, events)):
+            for seq, (kind, body, vol, blk, off, resync, insolid) in enumerate(blocks.records_of(volumes, events, **self.key)):
                 yield name, seq, vol, blk, off, kind, len(body), resync, insolid, body
         elif self.table == "files":
-            for f in blocks.files_of(volumes, events):
+            for f in blocks.files_of(volumes, events, **self.key):
                 sec, nsec = f.get("mtime", (None, None))
                 yield name, f["fileno"], text(f["path"]), f["ftype"], f.get("mode"), f.get("uid"), f.get("gid"), len(f["content"]), sec, nsec, text(f.get("link")), f["crc"], f["status"], f["intact"], f["content"]
         elif self.table == "catalog":
-            for e in blocks.catalog_of(volumes, events):
+            for e in blocks.catalog_of(volumes, events, **self.key):
                 yield name, e["fileno"], text(e["path"]), e["ftype"], e.get("size"), e.get("crc"), e.get("status"), e.get("locvol"), e.get("locblk"), e.get("locoff"), e.get("solid")
         else:
-            for _ in blocks.records_of(volumes, events):
+            for _ in blocks.records_of(volumes, events, **self.key):
                 pass
             for event in events:
                 yield (name, *event)
@@ -133,9 +135,9 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SavesetSource)
 
 
-def read(spark: SparkSession, path: str, table: str = "files") -> DataFrame:
+def read(spark: SparkSession, path: str, table: str = "files", **options: str) -> DataFrame:
     register(spark)
-    return spark.read.format("saveset").option("path", path).option("table", table).load()
+    return spark.read.format("saveset").options(path=path, table=table, **options).load()
 
 
 WRITTEN = "saveset string, volumes int, files long, bytes long"

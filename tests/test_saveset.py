@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sediment.sources import blocks, codecs, galois
+from sediment.sources import blocks, codecs, crypto, galois
 
 
 def tree(n=60, seed=1):
@@ -90,3 +90,33 @@ def test_known_values():
         blocks.tlv_items(b"\x01\x00\xff\x00\x00\x00x")
     assert blocks.tlv_items(blocks.tlv(fileno=7, path=b"x"))["fileno"] == 7
     assert blocks.tlv_items(b"\xfe\x00\x01\x00\x00\x00z")["extra"] == {254: b"z"}
+
+
+def test_cipher_vectors():
+    key, nonce = bytes(range(32)), bytes.fromhex("000000000000004a00000000")
+    text = b"Ladies and Gentlemen of the class of '99: If I could offer you only one tip for the future, sunscreen would be it."
+    assert crypto.chacha20(key, nonce, text, 1)[:16].hex() == "6e2e359a2568f98041ba0728dd0d6981"
+    assert crypto.hmac_sha256(b"Jefe", b"what do ya want for nothing?").hex().startswith("5bdcc146bf60754e6a042426089575c7")
+
+
+@pytest.mark.parametrize("parity", [1, 2])
+def test_encrypted(parity):
+    files = list(tree())
+    keys = crypto.Keys.derive(b"secret words", rounds=1000)
+    layout = blocks.Layout(block=8192, group=4, parity=parity, codec=codecs.DEFLATE, keys=keys)
+    (volume,) = blocks.write(iter(files), layout)
+    bad = bytearray(volume)
+    for i in range(parity):
+        bad[(1 + i) * 8192 + 100] ^= 1
+    for data in (volume, bytes(bad)):
+        got = list(blocks.files_of([data], [], b"secret words"))
+        assert [(g["path"], g["content"]) for g in got] == [(a["path"], d) for a, d in files]
+    assert b"some text" not in volume
+    with pytest.raises(ValueError, match="wrong passphrase"):
+        list(blocks.files_of([volume], [], b"other"))
+    forged = bytearray(volume)  # a right checksum over other bytes: the tag finds it
+    forged[8192 + 100] ^= 1
+    head = bytes(forged[8192 : 8192 + 60]) + bytes(4)
+    forged[8192 + 60 : 8192 + 64] = zlib.crc32(bytes(forged[8192 + 64 : 16384]), zlib.crc32(head)).to_bytes(4, "little")
+    events: list = []
+    assert len(list(blocks.files_of([bytes(forged)], events, b"secret words"))) == len(files) and {e[0] for e in events} == {"REPAIRED"}
