@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import materialize, row_key, sliced
+from sediment.llm.common import drop_scratch, materialize, row_key, sliced
 from sediment.llm.components import connected_components
 from sediment.llm.exchange import pack, unpack
 
@@ -262,16 +262,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = materialize(chosen.join(classes.select("node", "weight", "_k1", "_k2"), "node"), "near-chosen")
     # repeated rows share their key: one of them carries the text
     bodies = texts.select("_k1", "_k2", "text").join(chosen, ["_k1", "_k2"])
-    members = materialize(bodies.select("node", "component", "blocks", "weight", "text").mapInArrow(carry, MEMBER_SCHEMA), "near-members").dropDuplicates(["node"])
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    carried = materialize(bodies.select("node", "component", "blocks", "weight", "text").mapInArrow(carry, MEMBER_SCHEMA), "near-members")
+    members = carried.dropDuplicates(["node"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     sent = members.select("*", other).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "weight", "body")
     links = materialize(sent.groupBy("component", "low", "high").applyInArrow(compare(threshold), LINK_SCHEMA), "near-links")
     counts = links.filter("links IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     groups = materialize(connected_components(links.filter("links IS NULL").select("a", "b")), "near-groups")
+    drop_scratch(carried)
     graded = materialize(classes.join(counts, "node", "left").join(groups, "node", "left").select("c1", "c2", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"), F.struct("_k1", "_k2").alias("rep")), "near-graded")
     heads = materialize(graded.groupBy("component").agg(F.min("rep").alias("head")), "near-heads")
     graded = materialize(graded.join(heads, "component").select("c1", "c2", "weight", "links", "rep", "head"), "near-classes-graded")
+    for done in (classes, buckets, edges, chosen, links):
+        drop_scratch(done)
     out = rows.select("_k1", "_k2", "doc_id", "c1", "c2", "n").join(graded, ["c1", "c2"], "left")
     alone = F.col("head").isNull()
     own = F.struct("_k1", "_k2")
