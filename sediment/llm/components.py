@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.llm.common import drop_scratch, materialize
 
+EDGES_A_TASK = 100_000
+
 
-def star(edges: DataFrame, large: bool, step: int) -> DataFrame:
+def star(edges: DataFrame, large: bool, step: int, width: int) -> DataFrame:
     """One star step over undirected edges (a, b).
 
     large: neighbours above a node move to its least neighbour; small: the node and its
@@ -19,13 +23,13 @@ def star(edges: DataFrame, large: bool, step: int) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # the least neighbours are written apart, so that the join has plain shuffles on both sides, which AQE can split
-    lows = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"star-{step}")
+    lows = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(width), f"star-{step}")
     joined = both.join(lows, "a")
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lows.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b").distinct().coalesce(width)
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -42,8 +46,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if tuple(mark) == seen or not mark[0]:
             break
         seen = tuple(mark)
-        large = materialize(star(now, True, step), "large-star")
-        old, now = now, materialize(star(large, False, step), "small-star")
+        width = math.ceil(mark[0] / EDGES_A_TASK)  # tables of few edges are written by few tasks
+        large = materialize(star(now, True, step, width), "large-star")
+        old, now = now, materialize(star(large, False, step, width), "small-star")
         drop_scratch(old)
         drop_scratch(large)
     else:
