@@ -20,7 +20,6 @@ Repeated rows give one row each, with equal values. Extra columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +44,35 @@ def bare(token: str) -> str:
     return "".join(LETTERS.findall(token)).lower()
 
 
-def features_of(word: str) -> np.ndarray:
-    """Buckets of a word's features."""
-    found = {f"p{word[:n]}" for n in (1, 2, 3)} | {f"s{word[-n:]}" for n in (1, 2, 3)} | {f"w{word}"}
-    edged = f"^{word}$"
-    for n in (2, 3):
-        found |= {f"g{edged[i : i + n]}" for i in range(len(edged) - n + 1)}
-    return np.array(sorted({zlib.crc32(f.encode()) % BUCKETS for f in found}), np.int64)
+def mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
+
+
+def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of every feature of non-empty words, all at once over their code points."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes + 2)
+    start = np.cumsum(sizes + 2) - sizes - 1  # first letter
+    end = start + sizes  # after the last letter
+    p = np.uint64(0x100000001B3)
+    found = []
+    with np.errstate(over="ignore"):
+        two = points[:-1] * p + points[1:]
+        three = two[:-1] * p + points[2:]
+        same = owner[1:] == owner[:-1]
+        found.append((owner[1:][same], mixed(two[same], 1)))
+        same = owner[2:] == owner[:-2]
+        found.append((owner[2:][same], mixed(three[same], 2)))
+        for n, grams in ((1, points), (2, two), (3, three)):
+            long_enough = np.flatnonzero(sizes >= n)
+            found.append((long_enough, mixed(grams[start[long_enough]], 2 + n)))
+            found.append((long_enough, mixed(grams[end[long_enough] - n], 5 + n)))
+        place = np.arange(len(points)) - np.repeat(start - 1, sizes + 2)
+        powers = np.cumprod(np.full(int(sizes.max()) + 2, p, np.uint64))
+        found.append((np.arange(len(words)), mixed(np.add.reduceat(points * powers[place], start - 1), 9)))
+    return np.concatenate([w for w, _ in found]), (np.concatenate([h for _, h in found]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def forward_backward(emit: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -115,11 +136,13 @@ class Model:
         self.start, self.move = np.zeros(k), np.zeros((k, k))
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """Emission scores of distinct words; a word without letters says nothing."""
+        """Emission scores of words; a word without letters says nothing."""
         out = np.zeros((len(words), len(self.labels)))
-        for i, w in enumerate(words):
-            if w:
-                out[i] = self.weights[features_of(w)].sum(axis=0)
+        some = np.array([i for i, w in enumerate(words) if w], np.int64)
+        if len(some):
+            of, bucket = features_of([words[i] for i in some])
+            for k in range(len(self.labels)):
+                out[some, k] = np.bincount(of, weights=self.weights[bucket, k], minlength=len(some))
         return out
 
 
@@ -157,11 +180,11 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     sequences = [s for s in spliced(known, rng) if len(s[0]) == SEQUENCE] or [s for s in spliced(known, rng) if s[0]]
     words = sorted({w for s, _ in sequences for w in s})
     number = {w: i for i, w in enumerate(words)}
-    feats = [features_of(w) for w in words]
-    most = max(map(len, feats))
+    of, bucket = features_of(words)
+    order, times = np.argsort(of, kind="stable"), np.bincount(of)
+    most = int(times.max())
     table = np.full((len(words), most), BUCKETS, np.int64)  # padded with a bucket of its own
-    for i, f in enumerate(feats):
-        table[i, : len(f)] = f
+    table[of[order], np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)] = bucket[order]
     k = len(labels)
     weights, seen = np.zeros((BUCKETS + 1, k)), np.full((BUCKETS + 1, k), 1e-2)
     start, move, seen_start, seen_move = np.zeros(k), np.zeros((k, k)), np.full(k, 1e-2), np.full((k, k), 1e-2)
@@ -207,7 +230,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return model
 
 
-def label_words(model: Model, texts: pa.Array, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_words(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, has letters, marginals) of each word of a batch of texts."""
     lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
     flat, rows = pc.list_flatten(lists), pc.list_parent_indices(lists)
@@ -217,14 +240,8 @@ def label_words(model: Model, texts: pa.Array, cache: dict) -> tuple[np.ndarray,
     if not len(flat):
         return rows, np.empty(0, bool), np.empty((0, k))
     enc = flat.dictionary_encode()
-    if len(cache) > 200_000:
-        cache.clear()
-    tokens = enc.dictionary.to_pylist()
-    fresh = [t for t in tokens if t not in cache]
-    for token, word, score in zip(fresh, words := [bare(t) for t in fresh], model.scores(words).astype(np.float32), strict=True):
-        cache[token] = (bool(word), score)
-    found = [cache[t] for t in tokens]
-    lettered, score = np.array([f[0] for f in found]), np.array([f[1] for f in found], np.float64)
+    words = [bare(t) for t in enc.dictionary.to_pylist()]
+    lettered, score = np.array([bool(w) for w in words]), model.scores(words)
     ix = enc.indices.to_numpy()
     emit = np.maximum(np.exp(score - score.max(axis=1, keepdims=True)), 1e-30)[ix]
     first = np.append(True, rows[1:] != rows[:-1])
@@ -232,9 +249,9 @@ def label_words(model: Model, texts: pa.Array, cache: dict) -> tuple[np.ndarray,
     return rows, lettered[ix], forward_backward(emit, first, start, move)
 
 
-def predict(model: Model, texts: pa.Array, cache: dict) -> tuple[list[str], np.ndarray]:
+def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
-    rows, lettered, marginals = label_words(model, texts, cache)
+    rows, lettered, marginals = label_words(model, texts)
     n = len(texts)
     sums = np.stack([np.bincount(rows[lettered], weights=marginals[lettered, j], minlength=n) for j in range(len(model.labels))], axis=1)
     total = sums.sum(axis=1)
@@ -255,9 +272,8 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         return named.select("doc_id", held_out.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def label(batches):
-        cache: dict = {}
         for batch in sliced(batches, "text", 2 << 20):
-            names, scores = predict(model, batch.column("text"), cache)
+            names, scores = predict(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return named.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(label, OUT_SCHEMA)

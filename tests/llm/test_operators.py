@@ -273,7 +273,7 @@ def test_code_switching_and_forward_backward():
     rng = random.Random(3)
     model = language_id.fit([(prose(rng, 100, lang), lang) for lang in ("en", "fr", "de") for _ in range(15)])
     text = prose(rng, 15, "en") + " " + prose(rng, 15, "de")
-    _, _, m = language_id.label_words(model, pa.array([text]), {})
+    _, _, m = language_id.label_words(model, pa.array([text]))
     picked = [model.labels[i] for i in m.argmax(axis=1)]
     assert sum(a == b for a, b in zip(picked, ["en"] * 15 + ["de"] * 15, strict=True)) >= 27
     gen = np.random.default_rng(0)
