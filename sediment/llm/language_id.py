@@ -8,8 +8,8 @@ runs of words from documents of different languages. Texts are labelled by forwa
 each word gets marginal probabilities, and the document the language with the largest mean
 marginal over its words with letters, which is also the score.
 
-The model is fitted on the driver on at most TRAIN_DOCS labelled documents (the least by a
-hash of the id) with at most TRAIN_WORDS words of each; prediction reads whole texts. Forward
+The model is fitted on the driver on about TRAIN_DOCS labelled documents (the least by a
+hash, twice as many at most) with at most TRAIN_WORDS words of each; prediction reads whole texts. Forward
 and backward passes run on fixed-size blocks side by side: a first pass gives each block's
 transfer matrix, these are chained, a second pass starts each block from its true state.
 
@@ -264,9 +264,11 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     """Language of each row, learned from rows that are not ``held_out`` (a column over doc_id) and have a language."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = named.filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # words of the sample only; whole texts never go to the driver
-    some = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 2 * TRAIN_WORDS), " ").alias("words"))
-    sample = some.orderBy("h", "doc_id", "lang", "words").limit(TRAIN_DOCS).select("words", "lang").collect()
+    # rows under a cut of a hash, so that tasks send the sample and no candidates for it
+    hashed, rows = F.xxhash64("doc_id", "text"), known.count()
+    cut = min((1 << 63) - 1, (1 << 64) * TRAIN_DOCS // max(rows, 1) - (1 << 63))
+    some = known.filter(hashed <= cut).select(F.array_join(F.slice(F.split("text", r"\s+"), 1, 2 * TRAIN_WORDS), " ").alias("words"), "lang")
+    sample = sorted(some.limit(2 * TRAIN_DOCS).collect())
     model = fit([tuple(r) for r in sample])
     if not model.labels:
         return named.select("doc_id", held_out.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
