@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import materialize, row_key, sliced
+from sediment.llm.common import materialize, partitions_for, row_key, sliced
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 8192
@@ -337,8 +337,12 @@ def batch_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, named, strict=True)], names=[n for n, _ in named])
 
 
-def encode_chunks(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Tokens of every chunk: TOKEN_SCHEMA, tokens and decoded bytes of those that start in it."""
+def encode_chunks(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Tokens of every chunk: TOKEN_SCHEMA, tokens and decoded bytes of those that start in it.
+
+    Texts of one chunk are finished where they are made (first table); chunks of longer ones
+    are kept until the states at their cuts are known (second table).
+    """
     texts = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def cut(batches):
@@ -356,9 +360,11 @@ def encode_chunks(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
                 made = kernel_ids(vocab, parts)
                 yield batch_of(PIECE_SCHEMA, [(*r, np.array(m, np.int32).tobytes()) for r, m in zip(rows, made, strict=True)])
 
-    pieces = texts.mapInArrow(cut, PIECE_SCHEMA)
-    # a text of one chunk is finished where it is made; pieces of longer ones are kept until the states are known
-    return finish(materialize(pieces.filter("pieces > 1"), "pieces"), model).unionByName(whole(pieces.filter("pieces = 1"), model))
+    # told apart by length before any encoding, so that each text is encoded once
+    is_short = F.coalesce(F.length("text"), F.lit(0)) + 1 <= chunk
+    short, longer = texts.filter(is_short), texts.filter(~is_short)
+    pieces = materialize(longer.mapInArrow(cut, PIECE_SCHEMA), "pieces")
+    return whole(short.mapInArrow(cut, PIECE_SCHEMA), model), finish(pieces, model)
 
 
 def whole(pieces: DataFrame, model: bytes) -> DataFrame:
@@ -398,7 +404,8 @@ def finish(pieces: DataFrame, model: bytes) -> DataFrame:
 
     # repeated rows repeat their matrices, which changes nothing
     entries = pieces.select("_k1", "_k2", "piece", "text", "before", "after").mapInArrow(matrices, CHOSEN_SCHEMA + ", weight double")
-    chosen = materialize(entries.groupBy("_k1", "_k2").applyInArrow(choose, CHOSEN_SCHEMA), "cut-states")
+    dealt = entries.repartition(partitions_for(pieces), "_k1", "_k2")  # small rows, much work: not to be put together
+    chosen = materialize(dealt.groupBy("_k1", "_k2").applyInArrow(choose, CHOSEN_SCHEMA), "cut-states")
 
     def trace(batches):
         vocab = vocabulary(model)
@@ -426,7 +433,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id"
         model = file.read()
     if len(model) > 64 << 20:
         raise ValueError("model file of more than 64 MB")
-    done = encode_chunks(docs, model, id_col, text_col, chunk)
+    short, longer = encode_chunks(docs, model, id_col, text_col, chunk)
     dummy = Vocabulary(model).dummy
 
     def joined(rows: list[dict]) -> tuple:
@@ -446,8 +453,8 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id"
         for batch in batches:
             yield batch_of(RESULT_SCHEMA, [joined([r]) for r in batch.to_pylist()])
 
-    long_texts = done.filter("pieces > 1").groupBy("_k1", "_k2").applyInArrow(per_text, RESULT_SCHEMA)
-    return done.filter("pieces = 1").mapInArrow(per_row, RESULT_SCHEMA).unionByName(long_texts)
+    long_texts = longer.groupBy("_k1", "_k2").applyInArrow(per_text, RESULT_SCHEMA)
+    return short.mapInArrow(per_row, RESULT_SCHEMA).unionByName(long_texts)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
