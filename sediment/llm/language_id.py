@@ -9,7 +9,7 @@ each word gets marginal probabilities, and the document the language with the la
 marginal over its words with letters, which is also the score.
 
 The model is fitted on the driver on about TRAIN_DOCS labelled documents (the least by a
-hash, twice as many at most) with at most TRAIN_WORDS words of each; prediction reads whole texts. Forward
+hash, twice as many at most), on all words of each; prediction reads whole texts, too. Forward
 and backward passes run on fixed-size blocks side by side: a first pass gives each block's
 transfer matrix, these are chained, a second pass starts each block from its true state.
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from sediment.llm.common import sliced
 
 BUCKETS = 1 << 16
-#: Bound of the training sample: labelled documents, and words of each.
-TRAIN_DOCS, TRAIN_WORDS = 3000, 120
+#: Bound of the training sample: labelled documents, each with all its words.
+TRAIN_DOCS = 3000
 SEQUENCE = 40
 EPOCHS, BATCH, RATE = 4, 64, 0.5
 WIDE = 128  # words of a block
@@ -154,7 +154,7 @@ def spliced(rows: list[tuple[list[str], int]], rng) -> list[tuple[list[str], lis
         words, labels = [], []
         i = alive[rng.integers(len(alive))]
         while len(words) < SEQUENCE and alive:
-            n = int(rng.integers(5, 21))
+            n = min(int(rng.integers(5, 21)), SEQUENCE - len(words))
             took = rows[i][0][cursor[i] : cursor[i] + n]
             cursor[i] += n
             words += took
@@ -166,7 +166,9 @@ def spliced(rows: list[tuple[list[str], int]], rng) -> list[tuple[list[str], lis
                 i = alive[rng.integers(len(alive))]
             elif rng.random() < 0.2:
                 i = alive[rng.integers(len(alive))]
-        out.append((words[:SEQUENCE], labels[:SEQUENCE]))
+        out.append((words, labels))
+    if len(out) > 1 and len(out[-1][0]) < SEQUENCE:  # the last is filled up from the one before
+        out[-1] = tuple((before + last)[-SEQUENCE:] for before, last in zip(out[-2], out[-1], strict=True))
     return out
 
 
@@ -176,17 +178,21 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     model, rng = Model(labels), np.random.default_rng(7)
     if len(labels) < 2:
         return model
-    known = [([b for b in map(bare, text.split()[: 2 * TRAIN_WORDS]) if b][:TRAIN_WORDS], labels.index(lang)) for text, lang in rows]
-    sequences = [s for s in spliced(known, rng) if len(s[0]) == SEQUENCE] or [s for s in spliced(known, rng) if s[0]]
+    letters: dict[str, str] = {}
+
+    def lettered(text):
+        return [w for w in (letters[t] if t in letters else letters.setdefault(t, bare(t)) for t in text.split()) if w]
+
+    sequences = [s for s in spliced([(lettered(text), labels.index(lang)) for text, lang in rows], rng) if s[0]]
+    if not sequences:
+        return model
     words = sorted({w for s, _ in sequences for w in s})
     number = {w: i for i, w in enumerate(words)}
     of, bucket = features_of(words)
-    order, times = np.argsort(of, kind="stable"), np.bincount(of)
-    most = int(times.max())
-    table = np.full((len(words), most), BUCKETS, np.int64)  # padded with a bucket of its own
-    table[of[order], np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)] = bucket[order]
+    bucket, times = bucket[np.argsort(of, kind="stable")], np.bincount(of)
+    begin = np.cumsum(times) - times  # the features of word w are bucket[begin[w] : begin[w] + times[w]]
     k = len(labels)
-    weights, seen = np.zeros((BUCKETS + 1, k)), np.full((BUCKETS + 1, k), 1e-2)
+    weights, seen = np.zeros((BUCKETS, k)), np.full((BUCKETS, k), 1e-2)
     start, move, seen_start, seen_move = np.zeros(k), np.zeros((k, k)), np.full(k, 1e-2), np.full((k, k), 1e-2)
     same = min(len(s) for s, _ in sequences)
     ids = np.array([[number[w] for w in s[:same]] for s, _ in sequences])
@@ -194,8 +200,12 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     eye = np.eye(k)
     for _ in range(EPOCHS):
         for at in np.array_split(rng.permutation(len(ids)), max(1, len(ids) // BATCH)):
-            x, y = ids[at], eye[gold[at]]
-            score = weights[table[x]].sum(axis=2)
+            y = eye[gold[at]]
+            there, x = np.unique(ids[at], return_inverse=True)
+            many = times[there]
+            edge = np.cumsum(many) - many
+            touched, feature = np.unique(bucket[np.repeat(begin[there] - edge, many) + np.arange(many.sum())], return_inverse=True)
+            score = np.add.reduceat(weights[touched][feature], edge)[x.reshape(len(at), same)]
             emit = np.exp(score - score.max(axis=2, keepdims=True))
             a, b = np.exp(start - start.max()), np.exp(move - move.max())
             alpha, beta, pair = np.empty_like(emit), np.empty_like(emit), np.zeros((k, k))
@@ -214,19 +224,18 @@ def fit(rows: list[tuple[str, str]]) -> Model:
             marginal = alpha * beta
             marginal /= marginal.sum(axis=2, keepdims=True)
             error = y - marginal
-            grad = np.zeros_like(weights)
-            np.add.at(grad, table[x].reshape(-1, most), np.repeat(error.reshape(-1, 1, k), most, axis=1))
-            grad[BUCKETS] = 0
-            grad /= len(at)
-            seen += grad**2
-            weights += RATE * grad / np.sqrt(seen)
+            of_words = np.stack([np.bincount(x.ravel(), weights=error[..., j].ravel()) for j in range(k)], axis=1)
+            of_features = np.repeat(of_words, many, axis=0)
+            grad = np.stack([np.bincount(feature, weights=of_features[:, j]) for j in range(k)], axis=1) / len(at)
+            seen[touched] += grad**2
+            weights[touched] += RATE * grad / np.sqrt(seen[touched])
             g = error[:, 0].sum(axis=0) / len(at)
             seen_start += g**2
             start += RATE * g / np.sqrt(seen_start)
             g = (np.einsum("nti,ntj->ij", y[:, :-1], y[:, 1:]) - pair) / len(at)
             seen_move += g**2
             move += RATE * g / np.sqrt(seen_move)
-    model.weights, model.start, model.move = weights[:BUCKETS].astype(np.float32), start, move
+    model.weights, model.start, model.move = weights.astype(np.float32), start, move
     return model
 
 
@@ -267,7 +276,7 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     # rows under a cut of a hash, so that tasks send the sample and no candidates for it
     hashed, rows = F.xxhash64("doc_id", "text"), known.count()
     cut = min((1 << 63) - 1, (1 << 64) * TRAIN_DOCS // max(rows, 1) - (1 << 63))
-    some = known.filter(hashed <= cut).select(F.array_join(F.slice(F.split("text", r"\s+"), 1, 2 * TRAIN_WORDS), " ").alias("words"), "lang")
+    some = known.filter(hashed <= cut).select("text", "lang")
     sample = sorted(some.limit(2 * TRAIN_DOCS).collect())
     model = fit([tuple(r) for r in sample])
     if not model.labels:

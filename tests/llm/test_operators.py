@@ -269,6 +269,22 @@ def test_language_id(spark, docs, rows, empty):
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string")), held).collect()} == {"und"}
 
 
+def test_language_is_learned_from_whole_texts():
+    rng = random.Random(5)
+    header = prose(rng, 300, "en")
+    model = language_id.fit([(f"{header} {prose(rng, 60, lang)}", lang) for lang in ("fr", "de") for _ in range(20)])
+    texts = [(prose(rng, 40, lang), lang) for lang in ("fr", "de") for _ in range(20)]
+    names, _ = language_id.predict(model, pa.array([text for text, _ in texts]))
+    assert names == [lang for _, lang in texts]
+
+
+def test_language_training_sequences_use_every_word():
+    rows = [([f"w{i}x{j}" for j in range(37 + 11 * i)], i % 2) for i in range(9)]
+    got = language_id.spliced(rows, np.random.default_rng(1))
+    assert {w for s, _ in got for w in s} == {w for r, _ in rows for w in r}
+    assert all(len(s) == len(y) == language_id.SEQUENCE for s, y in got)
+
+
 def test_code_switching_and_forward_backward():
     rng = random.Random(3)
     model = language_id.fit([(prose(rng, 100, lang), lang) for lang in ("en", "fr", "de") for _ in range(15)])
