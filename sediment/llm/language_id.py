@@ -8,8 +8,10 @@ runs of words from documents of different languages. Texts are labelled by forwa
 each word gets marginal probabilities, and the document the language with the largest mean
 marginal over its words with letters, which is also the score.
 
-The model is fitted on the driver on about TRAIN_DOCS labelled documents (the least by a
-hash, twice as many at most), on all words of each; prediction reads whole texts, too. Forward
+The model is fitted on the driver on at most TRAIN_DOCS labelled documents, on all words of
+each; prediction reads whole texts, too. Every language gets the same number of documents, those
+with the least hashes, or all it has; equal rows count once. Each language of the training rows
+is a label (if there are more than TRAIN_DOCS, each has one document). Forward
 and backward passes run on fixed-size blocks side by side: a first pass gives each block's
 transfer matrix, these are chained, a second pass starts each block from its true state.
 
@@ -19,12 +21,14 @@ Repeated rows give one row each, with equal values. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sediment.llm.common import sliced
@@ -269,16 +273,40 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return names, np.where(total > 0, np.round(sums.max(axis=1) / np.maximum(total, 1e-30), 9), 0.0)
 
 
+def fair_share(counts: list[int], total: int) -> int:
+    """The greatest k with sum(min(n, k)) <= total, 1 at least."""
+    left, ordered = total, sorted(counts)
+    for i, n in enumerate(ordered):
+        if n * (len(ordered) - i) > left:
+            return max(1, left // (len(ordered) - i))
+        left -= n
+    return max(1, *ordered)
+
+
+def training_rows(known: DataFrame, total: int = TRAIN_DOCS) -> list[tuple[str, str]]:
+    """(text, lang) of the training sample of ``known``: of each language the rows with the least hashes."""
+    hashed = known.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    counts = dict(hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).collect())
+    if not counts:
+        return []
+    k = fair_share(list(counts.values()), total)
+    # tasks send rows under a cut of the hash, somewhat more than k; the counts are off by a few per cent
+    wanted = 1.2 * k + 8 * math.sqrt(k) + 16
+    cuts = [(lang, (1 << 63) - 1 if n <= wanted else int((1 << 64) * (wanted / n)) - (1 << 63)) for lang, n in counts.items()]
+    cut = F.broadcast(known.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+    some = hashed.join(cut, "lang").filter("h <= cut").select("lang", "h", "text").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    sent = some.withColumn("place", place).filter(F.col("place") <= math.ceil(1.1 * k) + 16).select("text", "lang", "place").collect()
+    # the true k, now that the counts of languages with few rows are exact
+    k = fair_share(list(Counter(r.lang for r in sent).values()), total)
+    return sorted((r.text, r.lang) for r in sent if r.place <= k)
+
+
 def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Language of each row, learned from rows that are not ``held_out`` (a column over doc_id) and have a language."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = named.filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # rows under a cut of a hash, so that tasks send the sample and no candidates for it
-    hashed, rows = F.xxhash64("doc_id", "text"), known.count()
-    cut = min((1 << 63) - 1, (1 << 64) * TRAIN_DOCS // max(rows, 1) - (1 << 63))
-    some = known.filter(hashed <= cut).select("text", "lang")
-    sample = sorted(some.limit(2 * TRAIN_DOCS).collect())
-    model = fit([tuple(r) for r in sample])
+    model = fit(training_rows(known))
     if not model.labels:
         return named.select("doc_id", held_out.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 

@@ -285,6 +285,28 @@ def test_language_training_sequences_use_every_word():
     assert all(len(s) == len(y) == language_id.SEQUENCE for s, y in got)
 
 
+def test_every_language_of_the_training_rows_is_a_label(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 12, "en"), "en") for i in range(12000)] + [(21000 + i, prose(rng, 12, "fr"), "fr") for i in range(5)]
+    rows += [(None, "die gleiche Zeile", "de")] * 7000 + [(30000 + i, prose(rng, 12, "de"), "de") for i in range(300)]
+    rng.shuffle(rows)
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    sample = language_id.training_rows(known)
+    counts = {lang: sum(lang == got for _, got in sample) for lang in ("en", "fr", "de")}
+    assert counts["fr"] == 5 and counts["de"] == 301 and abs(counts["en"] - 2694) <= 60
+    assert len(sample) <= language_id.TRAIN_DOCS and sample == language_id.training_rows(known.coalesce(1))
+    texts = [prose(rng, 30, "fr") for _ in range(20)]
+    asked = spark.createDataFrame([(40000 + i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").unionByName(known)
+    got = language_id.identify(asked, F.coalesce(F.col("doc_id") >= 40000, F.lit(False)))
+    assert {r.lang_pred for r in got.filter("doc_id >= 40000").collect()} == {"fr"}
+
+
+def test_fair_share():
+    assert language_id.fair_share([5, 2000, 9000], 3000) == 1497
+    assert language_id.fair_share([10, 20], 3000) == 20
+    assert language_id.fair_share([9] * 50, 20) == 1
+
+
 def test_code_switching_and_forward_backward():
     rng = random.Random(3)
     model = language_id.fit([(prose(rng, 100, lang), lang) for lang in ("en", "fr", "de") for _ in range(15)])
