@@ -1,6 +1,6 @@
 """License scans: whole texts looked up by the digest of a canonical form.
 
-The canonical form drops copyright lines and the "all rights reserved" phrase, lower-cases,
+The canonical form drops copyright notices (lines) and the "all rights reserved" phrase, lower-cases,
 replaces equivalent spellings, turns everything but letters and digits into one space and
 trims. Its SHA-256 is joined with the digests of the known texts, to which the same column
 expression is applied. Only DataFrame operations are used.
@@ -25,11 +25,28 @@ def spaced(phrase: str) -> str:
     return f" {phrase.replace(' ', '  ')} "
 
 
+#: Words after "Copyright" that go on with a sentence instead of naming an owner.
+_NO_OWNER = r"(?:notices?|holders?|owners?|ownership|licen[sc]\w*|laws?|interests?|statements?|disclaimers?|permissions?|protections?|treat(?:y|ies)|acts?|terms?|infringements?|rights?|and|or|in|of|on|to|as|is|are|for)"
+_SIGN_OR_YEAR = r"(?:\(c\)|©|[\[<{(]?(?:\p{N}{4}|y{4}|year)\b)"
+#: A copyright notice: a line that starts, maybe after comment marks, with
+#: "Copyright" and an owner, a sign or a year; "copyright" (as wrapped prose has it) and a sign
+#: or a year; "(c)" and a year, "copyright" with either, or a name; or a copyright sign.
+NOTICE = (
+    r"(?m)^[^\p{L}\p{N}\n©]*(?:"
+    r"(?:(?i:\(c\))[ \t]*)?(?:"
+    rf"C(?i:opyright)\b(?=[^\n]*[\p{{L}}\p{{N}}©])(?![^\p{{L}}\p{{N}}\n©(]*(?i:{_NO_OWNER})\b)"
+    rf"|(?i:copyright)\b[ \t:,-]*(?i:{_SIGN_OR_YEAR})"
+    r")[^\n]*"
+    rf"|(?i:\(c\)[ \t:,-]*{_SIGN_OR_YEAR})[^\n]*"
+    r"|(?i:\(c\))[ \t]+(?=[^\n]*\p{Ll})(?:\p{Lu}[\p{L}\p{N}.'&-]*[ \t,]*){2,6}(?:<[^>\n]*>[ \t]*)?"
+    r"|©[^\n]*"
+    r")\r?$"
+)
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
-    out = F.lower(text)
-    # a copyright line: its first word is "copyright" or a copyright sign, maybe after comment marks
-    out = F.regexp_replace(out, r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright\b|\(c\)|©)[^\n]*$", " ")
+    out = F.lower(F.regexp_replace(text, NOTICE, " "))  # notices first: names show by their case
     out = F.regexp_replace(out, r"all rights reserved\.?", " ")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
     # every word gets a space of its own on both sides, so that plain replacement sees whole words

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -257,6 +258,26 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.scan(docs).count() == len(rows) and licenses.scan(empty).count() == 0
 
 
+def test_wrapped_licenses_are_found(spark):
+    texts = []
+    for name, text in KNOWN_LICENSES.items():
+        for case in (str, str.upper):
+            for width in range(30, 101, 5):
+                body = "\n".join(textwrap.fill(line, width, break_long_words=False, break_on_hyphens=False) for line in case(text).split("\n"))
+                texts += [(name, body), (name, f"Copyright (c) 2020-2024 Some One\n\n{body}")]
+    df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+
+
+def test_copyright_notices_and_other_lines(spark):
+    notices = ["Copyright 2020 x", "copyright (c) some one", "# Copyright The Foo Authors", "Copyright Jane Doe <j@d.e>", "COPYRIGHT JANE DOE", "(c) 2020 y", "(C) Copyright 1999 z", " * (c) Jane Doe", "© me", "Copyright [yyyy] [name]", "Copyright © 2001 a", "copyright: 1999, b", "Copyright (c) <year> <owner>"]
+    others = ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE", "copyright laws, the author", "copyright the software, and", "(c) You must retain, in the source form,", "(c) copyright notices must stay", "Copyright and related rights", "copyrighted works"]
+    df = spark.createDataFrame([(x,) for x in notices + others], "text string")
+    got = {r.text: r.c for r in df.select("text", licenses.canonical(F.col("text")).alias("c")).collect()}
+    assert [x for x in notices if got[x]] == [] and [x for x in others if not got[x]] == []
+
+
 def test_language_id(spark, docs, rows, empty):
     held = F.coalesce(F.col("doc_id") % 4 == 2, F.lit(False))
     got = language_id.identify(docs, held).collect()
