@@ -58,8 +58,12 @@ def chain_restore(links: list[DataFrame], key: str, deleted: str) -> DataFrame:
 
 def first_names(entries: DataFrame, identity: list[str], order: str, name: str) -> DataFrame:
     """Further names of one identity become links to its first name (null for the first)."""
-    first = entries.groupBy(*identity).agg(F.min_by(name, order).alias("_first"), F.min(order).alias("_at"))
-    joined = entries.join(first, identity)
+    mine = [F.col(c).alias(f"_of_{c}") for c in identity]
+    first = entries.groupBy(*mine).agg(F.min_by(name, order).alias("_first"), F.min(order).alias("_at"))
+    # equal identities with nulls in them are one group, as in the aggregate
+    joined = entries.join(first, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in identity)))
+    rest = [c for c in entries.columns if c not in identity]
+    joined = joined.select(*identity, *rest, "_first", "_at")
     return joined.withColumn("link", F.when(F.col(order) != F.col("_at"), F.col("_first"))).drop("_first", "_at")
 
 

@@ -61,6 +61,13 @@ def test_walk(spark, tmp_path):
     assert [r.path for r in fswalk.walk(spark, str(tmp_path), pattern=".../*.txt").orderBy("path").collect()] == ["a-c/y.txt", "a/x.txt", "d/e/f/g.txt", "skip/h.txt"]
 
 
+def test_first_names_keep_null_identities(spark):
+    rows = spark.createDataFrame([(1, "x", None), (2, "x", None), (3, "y", 1), (4, None, None), (5, "y", 1)], "id long, a string, b int")
+    got = snapshots.first_names(rows, ["a", "b"], "id", "id")
+    assert got.columns == ["a", "b", "id", "link"]
+    assert {r.id: r.link for r in got.collect()} == {1: None, 2: 1, 3: None, 4: None, 5: 3}
+
+
 def test_point_read_prunes(spark, tmp_path):
     from pyspark.sql import functions as F
 
