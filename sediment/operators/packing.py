@@ -8,21 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from sediment.storage import materialize
+
 POLYNOMIAL = 0x11D
 SOLID_BYTES = 262_144
 
 
+#: monotonically_increasing_id: the partition is above these bits, the place in it below.
+PLACE_BITS = 33
+
+
 def numbered(rows: DataFrame, order: list, name: str = "blkno", start: int = 0) -> DataFrame:
     """Dense numbers in a total order without one task for all rows.
 
-    Range partitions are sorted, counted, and each adds the rows of those before it.
+    Range partitions are sorted and written once with each row's place; counts and rows are both
+    read from that table, so they can't be dealt out in two ways. Each partition adds the rows of those before it. ``order`` has to
+    tell all rows apart, or numbers among equals are arbitrary. Nulls come first. An empty table gives no rows.
     """
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = parts.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = parts.join(F.broadcast(before.select("_p", "_before", "_first")), "_p")
-    return joined.withColumn(name, F.col("_before") + F.col("_m") - F.col("_first") + start).drop("_p", "_m", "_before", "_first")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    parts = materialize(placed, "numbered").withColumns({"_p": F.shiftright("_m", PLACE_BITS), "_i": F.col("_m").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))})
+    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # one row a partition
+    return parts.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i") + start).drop("_p", "_m", "_i", "_before")
 
 
 def group_of(position: Column, group: int, parity: int) -> tuple[Column, Column]:

@@ -94,3 +94,31 @@ def test_literals():
 def test_same_result_for_any_partitioning(spark, parts):
     rows = spark.range(100).selectExpr("id * 37 % 100 as k").repartition(parts)
     assert {r.k: r.blkno for r in packing.numbered(rows, ["k"]).collect()} == {k: k for k in range(100)}
+
+
+NUMBERED = ["block_number", "group_index", "prev_fields", "header_rebuild", "volume_cut", "xor_groups", "xor_rebuild", "rs_parity", "list_depth_order"]
+
+
+@pytest.mark.parametrize("shuffle, advisory", [("8", "64m"), ("200", "16k")])
+def test_numbered_queries_keep_every_row_of_wide_tables(spark, shuffle, advisory):
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for name in ("orders", "pages"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    conf = {"spark.sql.shuffle.partitions": shuffle, "spark.sql.adaptive.advisoryPartitionSizeInBytes": advisory, "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        orders = spark.read.parquet(f"{sf}/orders.parquet")
+        numbers = packing.numbered(orders, ["o_orderkey"]).selectExpr("count(*) n", "count(distinct blkno) d", "min(blkno) a", "max(blkno) b").first()
+        assert tuple(numbers) == (150000, 150000, 0, 149999)
+        for name in NUMBERED:
+            got = QUERIES[name](spark, sf).toArrow()
+            columns = ", ".join(sorted(got.column_names))
+            con.register("got", got)
+            rest = con.execute(f"SELECT count(*) FROM ((SELECT {columns} FROM got EXCEPT ALL SELECT {columns} FROM ({ORACLES[name]})) UNION ALL (SELECT {columns} FROM ({ORACLES[name]}) EXCEPT ALL SELECT {columns} FROM got))").fetchall()[0][0]
+            assert rest == 0, name
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
