@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -410,7 +411,11 @@ def encoded(vocab, text, size):
     cuts = range(0, len(marked), size)
     chunks = [sentencepiece_scan.Chunk(vocab, marked[a : a + size], marked[max(0, a - vocab.longest) : a], marked[a + size : a + size + vocab.longest]) for a in cuts]
     ways = sentencepiece_scan.cut_states([c.matrix() for c in chunks])
-    return [i for c, (a, b), m in zip(chunks, ways, sentencepiece_scan.kernel_ids(vocab, chunks), strict=True) for i in c.trace(a, b, m)]
+    out = []
+    for c, (a, b), middle in zip(chunks, ways, vocab.encode([c.middle_text() for c in chunks]), strict=True):
+        first, last = c.trace(a, b)
+        out += [*first, *np.frombuffer(middle, np.int32).tolist(), *last]
+    return out
 
 
 @pytest.mark.parametrize("kind", ["bpe", "unigram"])
@@ -420,18 +425,56 @@ def test_sentencepiece_scan(kind, rows):
     vocab = sentencepiece_scan.Vocabulary(model if kind == "bpe" else unigram_twin(model))
     rng = random.Random(3)
     texts = [r.text[:800] for r in rows if r.text] + ["".join(rng.choice("abceht  \n▁é日\U0001f600") for _ in range(rng.randint(0, 150))) for _ in range(60)] + ["internationalization" * 15, " " * 60 + "x" + " " * 40, " "]
-    score = lambda ids: sum(vocab.kernel.get_score(i) for i in ids)
-    for text in texts:
-        want = vocab.kernel.encode(text)
-        for size in (7, 64, 500):
-            got = encoded(vocab, text, size)
+    kernel = sentencepiece.SentencePieceProcessor(model_proto=model if kind == "bpe" else unigram_twin(model))
+    score = lambda ids: sum(kernel.get_score(i) for i in ids)
+    whole = vocab.encode([vocab.marked(t) for t in texts])
+    for text, tokens in zip(texts, whole, strict=True):
+        want = kernel.encode(text)
+        for got in (np.frombuffer(tokens, np.int32).tolist(), *(encoded(vocab, text, size) for size in (7, 64, 500))):
             assert got == want or kind == "unigram" and score(got) == pytest.approx(score(want), abs=1e-3)
 
 
-def test_sentencepiece_rows(docs, rows, empty):
-    import sentencepiece
+def test_neighbours_are_what_merging_says():
+    with open(sentencepiece_scan.MODEL_PATH, "rb") as file:
+        vocab = sentencepiece_scan.Vocabulary(file.read())
+    names, rng = sorted(vocab.piece_at, key=vocab.piece_at.get), random.Random(4)
+    pairs = [(rng.randrange(len(names)), rng.randrange(len(names))) for _ in range(3000)]
+    for name in rng.sample(names, 1000):  # pairs that merges meet
+        pairs += [(vocab.piece_at[name[:i]], vocab.piece_at[name[i:]]) for i in range(1, len(name)) if name[:i] in vocab.piece_at and name[i:] in vocab.piece_at]
+    told = vocab.neighbours_all(*(np.array(c) for c in zip(*pairs, strict=True)))
+    for (a, b), fits in zip(pairs, told.tolist(), strict=True):
+        assert fits == vocab.neighbours(names[a], names[b]) == (vocab.merged(names[a] + names[b]) == [names[a], names[b]])
+
+
+def test_products_of_any_shape_give_the_same_states():
+    rng = random.Random(6)
+    states = [("", 0), ("a", 0), ("b", 1)]
+    matrices = [{a: {b: float(rng.randint(-9, 0)) for b in states} for a in states} for _ in range(11)]
+    matrices[0], matrices[-1] = {states[0]: matrices[0][states[0]]}, {a: {states[0]: row[states[0]]} for a, row in matrices[-1].items()}
+    best = lambda ways: sum(m[a][b] for m, (a, b) in zip(matrices, ways, strict=True))
+    ways = sentencepiece_scan.cut_states(matrices)
+    assert all(x[1] == y[0] for x, y in zip(ways, ways[1:], strict=False))
+    top = sentencepiece_scan.products(matrices)[-1][0]
+    assert best(ways) == max(w for row in top.values() for w in row.values())
+
 
+def test_sentencepiece_rows(docs, rows, empty, spark):
     kernel = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_scan.MODEL_PATH)
-    got = sentencepiece_scan.encode(docs, chunk=1000).collect()
-    assert sorted((repr(r.doc_id), r.tokens, r.decoded) for r in got) == sorted((repr(r.doc_id), kernel.encode(r.text or ""), r.text or "") for r in rows)
+    got = sentencepiece_scan.encode(docs, chunk=1000, fan=3).collect()
+    want = [(repr(r.doc_id), kernel.encode(r.text or ""), r.text or "") for r in rows]
+    assert sorted((repr(r.doc_id), r.tokens, r.decoded) for r in got) == sorted(want)
+    digests = sentencepiece_scan.encode(docs, chunk=400, with_text=False).collect()
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    assert sorted((repr(r.doc_id), r.n_tokens, r.token_sha256, r.decoded_sha256, r.tokens) for r in digests) == sorted((i, len(t), sha(np.array(t, np.int32).tobytes()), sha(x.encode()), None) for i, t, x in want)
     assert sentencepiece_scan.encode(empty).count() == 0
+
+
+def test_sentencepiece_of_giant_texts(spark):
+    rng = random.Random(8)
+    kernel = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_scan.MODEL_PATH)
+    texts = [prose(rng, 400_000), "".join(rng.choice("abcdeinrt中文字的一是é") for _ in range(30_000)), "\U0001f600" * 20_000, " " * 30_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in sentencepiece_scan.encode(docs).collect()}
+    assert len(texts[0]) > 3_000_000
+    for i, t in enumerate(texts):
+        assert got[i].tokens == kernel.encode(t) and got[i].decoded == t
