@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sediment.storage import drop_scratch, file_system, materialize, scratch_path, shared_dir
 
-__all__ = ["drop_scratch", "file_system", "make_remote_dir", "materialize", "open_remote", "partitions_for", "row_key", "scratch_path", "shared_dir", "sliced", "utf8"]
+__all__ = ["drop_scratch", "file_system", "make_remote_dir", "materialize", "maybe_among", "open_remote", "partitions_for", "row_key", "scratch_path", "shared_dir", "sliced", "utf8"]
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
@@ -23,6 +23,23 @@ def utf8(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit("")).cast("binary")
 
 
+#: Bits of the filter of :func:`maybe_among`; the words of 64 bits that are broadcast are 2^18 at most, whatever the data.
+FILTER_BITS = 24
+
+
+def maybe_among(rows: DataFrame, members: DataFrame, keys: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``rows`` whose keys can be among those of ``members``: all that are, and few others.
+
+    A bit for each hash value; it saves a later join from moving rows that have no partner. Null
+    keys are kept where members have them. With very many members more rows pass, none is lost.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
+    words = members.select(place.alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_place & 63 AS int))")).alias("_bits"))
+    placed = rows.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6))
+    met = placed.join(F.broadcast(words), "_word")
+    return met.filter("(shiftrightunsigned(_bits, cast(_place & 63 AS int)) & 1L) = 1").select(*rows.columns)
+
+
 def open_remote(uri: str):
     """(pyarrow file system, path) of a URI, also on executors."""
     from pyarrow import fs
@@ -63,4 +80,6 @@ def free_memory() -> None:
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
-    ctypes.CDLL(None).malloc_trim(0)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

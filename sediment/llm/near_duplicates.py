@@ -5,15 +5,18 @@ sets form a class; all further work is on one representative a class.
 
 Candidates share one of ``BANDS`` band keys of ``ROWS`` MinHash values each: a pair at the
 threshold itself is missed with probability (1 - 0.8^4)^40 = 7e-10, closer pairs with less.
-Representatives that share a key with any other are grouped by components of the candidate graph, cut into
-blocks, and each pair of blocks is compared in one task: band keys first, then MinHash values
+Representatives that share a key with any other are grouped by components of the candidate graph; a component of
+more than ``BLOCK`` of them, or ``BLOCK_BYTES`` of their shingles, is cut into blocks. A representative is sent to its own block and
+to those others in which one shares a key with it, so what is sent follows the candidates
+and not the square of a component. A pair of blocks is compared in one task: band keys first, then MinHash values
 32 at a time, dropping a pair as soon as the posterior probability (uniform prior) that its
 similarity reaches the threshold is under ``TOLERANCE``; what is left is counted exactly.
 
 Every row gets its group (component of verified links), its class and its number of links to
 other rows, copies included. Pairs never become rows.
 
-Nulls and texts without words have no shingles, no links and a group of their own. Repeated
+Nulls and texts without words have no shingles, no links and a group of their own, named by their own id. Rows
+with a null id take part like others; their class and group are named by the least id there, null if all of them are null. Repeated
 rows are copies of each other. Empty tables give no rows. Extra columns are ignored.
 """
 
@@ -28,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import drop_scratch, materialize, row_key, sliced
+from sediment.llm.common import drop_scratch, materialize, maybe_among, row_key, sliced
 from sediment.llm.components import connected_components
 from sediment.llm.exchange import pack, unpack
 
@@ -37,7 +40,9 @@ BANDS, ROWS = 40, 4
 HASHES = BANDS * ROWS
 STEP = 32
 TOLERANCE = 1e-9
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Pairs whose MinHash values are compared at once.
+SLAB = 1 << 15
 
 _MULTIPLIERS = (np.random.default_rng(20).integers(1, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -137,7 +142,7 @@ def describe(batches):
         yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in ROW_SCHEMA.split(", ")])
 
 
-MEMBER_SCHEMA = "node long, component long, blocks int, weight long, body binary"
+MEMBER_SCHEMA = "node long, component long, block int, others array<int>, weight long, body binary"
 
 
 def carry(batches):
@@ -146,7 +151,7 @@ def carry(batches):
         sets = shingle_sets(batch.column("text"))
         values = signatures(sets)
         body = [pack(s, v) for s, v in zip(sets, values, strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "component", "blocks", "weight")), pa.array(body, pa.binary())], names=[f.split()[0] for f in MEMBER_SCHEMA.split(", ")])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "component", "block", "others", "weight")), pa.array(body, pa.binary())], names=[f.split()[0] for f in MEMBER_SCHEMA.split(", ")])
 
 
 class Block:
@@ -168,6 +173,12 @@ def candidates(a: Block, b: Block, least: list[int], threshold: float, same: boo
     if same:
         shared &= np.triu(np.ones_like(shared), 1)
     i, j = np.nonzero(shared)
+    left = [pruned(a, b, i[low : low + SLAB], j[low : low + SLAB], least) for low in range(0, len(i), SLAB)] or [(i, j)]
+    return np.concatenate([x for x, _ in left]), np.concatenate([y for _, y in left])
+
+
+def pruned(a: Block, b: Block, i: np.ndarray, j: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that are not dropped while their MinHash values are compared."""
     equal = np.zeros(len(i), np.int64)
     for step, need in enumerate(least):
         at = slice(step * STEP, (step + 1) * STEP)
@@ -208,7 +219,7 @@ def compare(threshold: float):
 
     def links(key, table):
         low, high = key[1].as_py(), key[2].as_py()
-        rows = table.to_pylist()
+        rows = list({r["node"]: r for r in table.to_pylist()}.values())  # repeated rows carry one text twice
         a = Block([r for r in rows if r["block"] == low])
         same = low == high
         b = a if same else Block([r for r in rows if r["block"] == high])
@@ -250,40 +261,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(texts.mapInArrow(describe, ROW_SCHEMA), "near-rows")
-    # one representative a class: its least (id, hash) stands for it; node is a number of its own for the graph
-    first = F.min(F.struct("_k1", "_k2")).alias("rep")
-    classes = materialize(rows.filter("n > 0").groupBy("c1", "c2").agg(first, F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys")).select("c1", "c2", "weight", "keys", "rep._k1", "rep._k2", F.xxhash64("c1", "c2").alias("node")), "near-classes")
-    pairs = classes.select("node", F.explode_outer("keys").alias("key"))
-    buckets = materialize(pairs.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "low"), "near-buckets")
-    edges = materialize(pairs.join(buckets, "key").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "near-edges")
+    # one representative a class: its least (id, hash) stands for it, null ids last; node is a number of its own for the graph
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "_k1", "_k2")).alias("rep")
+    whole = rows.filter("n > 0").groupBy("c1", "c2").agg(first, F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    classes = materialize(whole.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    pairs = classes.select("node", F.explode("keys").alias("key"))
+    buckets = pairs.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "low")
+    shared = materialize(pairs.join(buckets, "key"), "near-shared")
+    edges = materialize(shared.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "near-edges")
     parts = materialize(connected_components(edges), "near-candidates")
-    sizes = materialize(parts.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "near-sizes")
-    chosen = parts.join(sizes, "component").select("node", "component", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    chosen = materialize(chosen.join(classes.select("node", "weight", "_k1", "_k2"), "node"), "near-chosen")
-    # repeated rows share their key: one of them carries the text
-    bodies = texts.select("_k1", "_k2", "text").join(chosen, ["_k1", "_k2"])
-    carried = materialize(bodies.select("node", "component", "blocks", "weight", "text").mapInArrow(carry, MEMBER_SCHEMA), "near-members")
-    members = carried.dropDuplicates(["node"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = members.select("*", other).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "weight", "body")
+    body = F.col("n").cast("long") * 8 + HASHES * 4
+    placed = parts.join(classes.select("node", "weight", "rep._k1", "rep._k2", body.alias("bytes")), "node")
+    sizes = placed.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = materialize(placed.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("bytes"), "near-placed")
+    # where a large component's representatives meet candidates
+    large = shared.select("node", "key").join(placed.filter("blocks > 1").select("node", "block"), "node")
+    there = large.select("key", F.col("block").alias("other")).distinct()
+    targets = large.join(there, "key").groupBy("node").agg(F.collect_set("other").alias("others"))
+    chosen = placed.join(targets, "node", "left").select("node", "component", "block", "weight", "_k1", "_k2", F.coalesce("others", F.array("block")).alias("others"))
+    chosen = materialize(chosen, "near-chosen")
+    bodies = maybe_among(texts.select("_k1", "_k2", "text"), chosen, ["_k1", "_k2"]).join(chosen, ["_k1", "_k2"])
+    members = bodies.select("node", "component", "block", "others", "weight", "text").mapInArrow(carry, MEMBER_SCHEMA)
+    sent = members.withColumn("other", F.explode("others")).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "weight", "body")
     links = materialize(sent.groupBy("component", "low", "high").applyInArrow(compare(threshold), LINK_SCHEMA), "near-links")
     counts = links.filter("links IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     groups = materialize(connected_components(links.filter("links IS NULL").select("a", "b")), "near-groups")
-    drop_scratch(carried)
-    graded = materialize(classes.join(counts, "node", "left").join(groups, "node", "left").select("c1", "c2", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"), F.struct("_k1", "_k2").alias("rep")), "near-graded")
-    heads = materialize(graded.groupBy("component").agg(F.min("rep").alias("head")), "near-heads")
+    graded = materialize(classes.join(counts, "node", "left").join(groups, "node", "left").select("c1", "c2", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"), "rep"), "near-graded")
+    heads = graded.groupBy("component").agg(F.min("rep").alias("head"))
     graded = materialize(graded.join(heads, "component").select("c1", "c2", "weight", "links", "rep", "head"), "near-classes-graded")
-    for done in (classes, buckets, edges, chosen, links):
+    for done in (classes, shared, edges, parts, placed, chosen, links, groups):
         drop_scratch(done)
     out = rows.select("_k1", "_k2", "doc_id", "c1", "c2", "n").join(graded, ["c1", "c2"], "left")
     alone = F.col("head").isNull()
-    own = F.struct("_k1", "_k2")
     return out.select(
         "_k1", "_k2", "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("rep._k1")).alias("class_id"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("head._k1")).alias("group_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("rep.doc_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("group_id"),
         F.when(alone, F.lit(0)).otherwise(F.col("weight") - 1 + F.col("links")).cast("long").alias("n_links"),
-        F.when(alone, F.lit(True)).otherwise(own == F.col("head")).alias("keep"),
+        F.when(alone, F.lit(True)).otherwise((F.col("_k1") == F.col("head._k1")) & (F.col("_k2") == F.col("head._k2"))).alias("keep"),
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sediment.llm import components, decontaminate, language_id, language_model, licenses, media, near_duplicates, quality, sentencepiece_scan, substrings, warc
-from sediment.llm.common import scratch_path
+from sediment.llm.common import maybe_among, scratch_path
 from sediment.llm.license_texts import KNOWN_LICENSES
 
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType())]
@@ -178,6 +178,40 @@ def test_near_duplicates(docs, rows, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_components_in_many_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    bases = [prose(rng, 40).split(" ") for _ in range(3)]
+    texts = []
+    for k in range(120):
+        edited = list(bases[k % 3])
+        for _ in range(rng.randint(0, 4)):
+            edited[rng.randrange(len(edited))] = rng.choice("abcdef")
+        texts.append(" ".join(edited))
+    made = [(k if k % 7 else None, t) for k, t in enumerate(texts)] + [(None, "alone without an id"), (None, "words that nobody else has"), (-1, texts[0])]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    rows = [Row(doc_id=i, text=t) for i, t in made]
+    links, groups = brute_groups(rows)
+    least = {}
+    for group in groups.values():
+        ids = [rows[k].doc_id for k in group if rows[k].doc_id is not None]
+        least |= {k: min(ids) if ids else None for k in group}
+    want = sorted((repr(r.doc_id), r.text, repr(least[k]), links[k]) for k, r in enumerate(rows))
+    for block, size in ((5, 16 << 20), (1000, 4000), (1000, 16 << 20)):
+        monkeypatch.setattr(near_duplicates, "BLOCK", block)
+        monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", size)
+        got = near_duplicates.near_duplicates(docs)
+        assert sorted((repr(r.doc_id), repr(r.group_id), r.n_links) for r in got.collect()) == sorted((i, g, n) for i, _, g, n in want)
+        assert got.filter("keep").count() == len(groups)
+
+
+def test_filter_of_keys_loses_none(spark):
+    rows = spark.range(5000).selectExpr("id as a", "if(id % 5 = 0, null, id) as b")
+    members = rows.filter("a % 100 < 3")
+    few = maybe_among(rows, members, ["a", "b"], 20)
+    assert few.join(members, ["a"], "left_semi").count() == members.count() and few.count() < 400 and few.columns == ["a", "b"]
+    assert maybe_among(rows, members, ["a", "b"], 6).join(members, ["a"], "left_semi").count() == members.count()
+
+
 def test_pruning_keeps_true_pairs():
     # a pair at the threshold fails a step with a probability of the order of the tolerance
     for n, need in zip(range(32, 161, 32), near_duplicates.fewest_matches(), strict=True):
