@@ -4,7 +4,7 @@ A payload is the text's UTF-8 bytes, padded with zeros to a positive multiple of
 as the samples of an 8-bit greyscale PNG of width 64 (lossless). A writing task appends each
 distinct payload once to its tar shard under its SHA-256; rows carry digest, shard, offset
 and length. A digest that several shards hold is addressed by the first of them, so equal
-texts share one address. Metadata columns come from range reads of the 33 header bytes;
+texts share one address. Metadata columns come from range reads of the 33 header bytes alone (:func:`read_headers`);
 whole payloads are range-read only for features.
 
 Nulls and empty texts give 64 zero bytes. Null ids are kept. Repeated rows share an address
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import make_remote_dir, materialize, open_remote, scratch_path, utf8
+from sediment.llm.common import make_remote_dir, materialize, open_remote, partitions_for, scratch_path, sliced, utf8
 
 UNIT = 64
 #: Fixed values of the PNG format.
@@ -32,7 +32,10 @@ PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 
 REF_SCHEMA = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
-FEATURE_SCHEMA = "digest binary, width int, height int, bit_depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+HEADER_SCHEMA = "digest binary, width int, height int, bit_depth int"
+#: Stored bytes that one task reads, about.
+READ_BYTES = 32 << 20
+FEATURE_SCHEMA = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def pad(data: bytes) -> bytes:
@@ -94,7 +97,7 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         out, path, at, seen = None, None, 0, {}
         files, _ = open_remote(folder)
         names = [f.split()[0] for f in REF_SCHEMA.split(", ")]
-        for batch in batches:
+        for batch in sliced(batches, "data"):
             rows = []
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 samples = pad(data)
@@ -129,42 +132,56 @@ def canonical(refs: DataFrame) -> DataFrame:
     return refs.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
 
 
-def read_features(addresses: DataFrame) -> DataFrame:
-    """Range-read each stored payload: metadata from its header, the rest from its body."""
+def read_ranges(addresses: DataFrame, size, row, schema: str, kinds: list) -> DataFrame:
+    """``row`` of the first ``size(length)`` bytes of each stored payload, by range reads in order of their place."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def read(batches):
         uri, handle = None, None
-        names = [f.split()[0] for f in FEATURE_SCHEMA.split(", ")]
         for batch in batches:
             rows = []
             for digest, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
                 if shard != uri:
                     files, path = open_remote(shard)
                     uri, handle = shard, files.open_input_file(path)
-                head = handle.read_at(HEADER_BYTES, offset)
-                width, height, depth = read_header(head)
-                media = head + handle.read_at(length - HEADER_BYTES, offset + HEADER_BYTES)
-                samples = decode_png(media)
-                rows.append((digest, width, height, depth, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(samples, width, height)))
+                rows.append((digest, *row(handle.read_at(size(length), offset))))
             if rows:
-                kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.binary(), *kinds], strict=True)], names=names)
+
+    # runs of 8 MB of a shard are a task's unit, so that a large shard is read by many tasks;
+    # addresses are small, what they stand for isn't: a number of tasks is given
+    stored = addresses.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(partitions_for(addresses), -(-stored // READ_BYTES))
+    dealt = addresses.repartition(tasks, F.col("shard"), F.expr("offset div 8388608")).sortWithinPartitions("shard", "offset")
+    return dealt.mapInArrow(read, schema)
+
+
+def read_headers(addresses: DataFrame) -> DataFrame:
+    """Metadata of each stored payload from its header bytes, whatever its size."""
+    return read_ranges(addresses, lambda length: HEADER_BYTES, read_header, HEADER_SCHEMA, [pa.int32()] * 3)
+
+
+def read_features(addresses: DataFrame) -> DataFrame:
+    """What needs the whole of each stored payload."""
+
+    def row(media: bytes) -> tuple:
+        samples = decode_png(media)
+        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(samples, *read_header(media[:HEADER_BYTES])[:2])
 
-    # runs of 8 MB of a shard are a task's unit, so that a large shard is read by many tasks
-    dealt = addresses.repartition(F.col("shard"), F.expr("offset div 8388608")).sortWithinPartitions("shard", "offset")
-    return dealt.mapInArrow(read, FEATURE_SCHEMA)
+    return read_ranges(addresses, lambda length: length, row, FEATURE_SCHEMA, [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])
 
 
 def media_columns(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row with its payload's address, metadata and features."""
     refs = store(docs, folder, id_col, text_col)
     addresses = materialize(canonical(refs), "media-addresses")
-    features = materialize(read_features(addresses), "media-features")
-    return refs.select("doc_id", "n_bytes", "digest").join(features, "digest")
+    known = read_headers(addresses).join(read_features(addresses), "digest").join(addresses, "digest")
+    return refs.select("doc_id", "n_bytes", "digest").join(materialize(known, "media-features"), "digest")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as media and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = media_columns(docs, scratch_path(spark, "media"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    contract = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return out.select(*contract, F.lower(F.hex("digest")).alias("digest"), "shard", "offset", "length", "width", "height", "bit_depth")

@@ -3,12 +3,14 @@
 A bundle is one file of independent Zstandard frames, each holding whole WARC records, then
 a skippable frame with the record index and a skippable frame with the seek table of the
 public Zstandard seekable format. A record is found by (frame, offset within the frame's
-decoded bytes), so that one record costs two range reads: the footer once, then its frame.
+decoded bytes), so that one record costs two range reads: the footer once, then its frame. Readers
+take frames and records from the footer of the bundle alone; a record that does not agree with its
+header or digest is an error.
 
 Nulls: a null payload is stored as an empty one, a null target URI is left out and a null
 page id is written as ``null`` and read back as null. Empty tables give no bundle and no
-rows. Repeated rows are separate records; rows that share the largest page id of a group of
-equal payloads are all responses. Extra columns are ignored.
+rows. Repeated rows are separate records with one record identifier, and a look-up gives all of them; rows that
+share the largest page id of a group of equal payloads are all responses. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import make_remote_dir, materialize, open_remote, scratch_path, utf8
+from sediment.llm.common import make_remote_dir, materialize, open_remote, partitions_for, scratch_path, sliced, utf8
 
 #: Fixed values of the Zstandard seekable format and of WARC 1.1.
 SKIPPABLE_SEEK_TABLE = 0x184D2A5E
@@ -33,8 +35,10 @@ SKIPPABLE_INDEX = 0x184D2A50
 SEEKABLE_MAGIC = 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-INDEX_SCHEMA = "page_id long, record_id string, bundle string, frame int, frame_offset long, frame_bytes int, record_offset int, record_bytes int"
-RECORD_SCHEMA = "page_id long, record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, stored_ok boolean"
+INDEX_SCHEMA = "page_id long, record_id string, bundle string, frame int, frame_offset long, frame_bytes long, record_offset long, record_bytes long"
+RECORD_SCHEMA = "page_id long, record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: Decoded bytes that one task reads back, about.
+READ_BYTES = 32 << 20
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -63,18 +67,15 @@ def encode_record(page_id, url, payload: bytes, refers_to, is_revisit: bool, dat
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def decode_records(data: bytes) -> Iterator[tuple[int, dict, bytes]]:
-    """(offset, header fields, block) of each record in a decoded frame."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *fields = data[at:end].decode().split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at {at}")
-        head = dict(line.split(": ", 1) for line in fields)
-        start, size = end + 4, int(head["Content-Length"])
-        yield at, head, data[start : start + size]
-        at = start + size + 4
+def decode_record(data: bytes, at: int) -> tuple[dict, bytes]:
+    """(header fields, block) of the record at a place in a decoded frame."""
+    end = data.index(b"\r\n\r\n", at)
+    first, *fields = data[at:end].decode().split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError(f"no WARC record at {at}")
+    head = dict(line.split(": ", 1) for line in fields)
+    start, size = end + 4, int(head["Content-Length"])
+    return head, data[start : start + size]
 
 
 class BundleWriter:
@@ -107,7 +108,7 @@ class BundleWriter:
 
     def close(self) -> list[tuple]:
         self.flush()
-        index = self.zstd.compress(json.dumps([[r[1], r[3], r[6]] for r in self.rows]).encode())
+        index = self.zstd.compress(json.dumps([[r[1], r[3], r[6]] for r in self.rows]).encode())  # identifier, frame, offset in the frame
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index)
         table = b"".join(struct.pack("<II", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0, SEEKABLE_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE_SEEK_TABLE, len(table)) + table)
@@ -128,28 +129,43 @@ def read_seek_table(handle, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def read_record(bundle: str, frame: int, record_offset: int) -> tuple[dict, bytes]:
-    """One record by its place: reads the footer and one frame."""
+def read_index(handle, size: int, frames: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(record identifier, frame, offset in it) of every record, from the footer's index, which follows the last frame."""
+    import zstandard
+
+    at = sum(frames[-1][:2]) if frames else 0
+    magic, length = struct.unpack("<II", handle.read_at(8, at))
+    if magic != SKIPPABLE_INDEX:
+        raise ValueError("no record index")
+    return [tuple(x) for x in json.loads(zstandard.ZstdDecompressor().decompressobj().decompress(handle.read_at(length, at + 8)))]
+
+
+def read_records(bundle: str, identifier: str) -> list[tuple[dict, bytes]]:
+    """The records of an identifier: reads the footer and their frames."""
     import zstandard
 
     store, path = open_remote(bundle)
     with store.open_input_file(path) as handle:
-        at, packed, plain = read_seek_table(handle, handle.size())[frame]
-        data = zstandard.ZstdDecompressor().decompress(handle.read_at(packed, at), max_output_size=plain)
-    return next((head, block) for offset, head, block in decode_records(data) if offset == record_offset)
+        frames = read_seek_table(handle, handle.size())
+        out = []
+        for own, frame, offset in read_index(handle, handle.size(), frames):
+            if own == identifier:
+                at, packed, plain = frames[frame]
+                out.append(decode_record(zstandard.ZstdDecompressor().decompress(handle.read_at(packed, at), max_output_size=plain), offset))
+    return out
 
 
 def link_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Adds ``payload`` (binary), ``rep`` (the group's largest page id) and ``is_revisit``.
 
-    Groups of equal payloads are found on (SHA-1, length) with map-side combining, so a hot
+    Groups of equal payloads are found on SHA-256 with map-side combining, so a hot
     payload never meets in one task; only digests of groups are joined back.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), (F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")).alias("url"), utf8(payload_col).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.length("payload").cast("long"))
-    groups = rows.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    groups = materialize(groups.filter("n > 1").select("digest", "bytes", "rep"), "warc-groups")
-    return rows.join(groups, ["digest", "bytes"], "left").withColumn("is_revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("rep")) & F.col("rep").isNotNull(), F.lit(False)))
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.length("payload").cast("long"))
+    groups = rows.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    groups = materialize(groups.filter("n > 1").select("digest", "rep"), "warc-groups")
+    return rows.join(groups, "digest", "left").withColumn("is_revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("rep")) & F.col("rep").isNotNull(), F.lit(False)))
 
 
 def write_bundles(linked: DataFrame, folder: str, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 28, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -163,7 +179,7 @@ def write_bundles(linked: DataFrame, folder: str, frame_bytes: int = 1 << 18, bu
     def write(batches):
         names = [f.split()[0] for f in INDEX_SCHEMA.split(", ")]
         writer, written = None, 0
-        for batch in batches:
+        for batch in sliced(batches, "payload"):
             for page_id, url, payload, rep, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "rep", "is_revisit")), strict=True):
                 if writer is None:
                     writer, written = BundleWriter(f"{folder}/bundle-{uuid.uuid4().hex}.warc.zst", frame_bytes, level), 0
@@ -180,13 +196,16 @@ def write_bundles(linked: DataFrame, folder: str, frame_bytes: int = 1 << 18, bu
 
 
 def index_batch(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def read_bundles(spark: SparkSession, bundles: DataFrame) -> DataFrame:
-    """Every record of the bundles named in column ``bundle``: footers give the frames, frames are dealt to tasks."""
-    frame_schema = "bundle string, at long, packed int, plain int"
+def read_bundles(spark: SparkSession, index: DataFrame) -> DataFrame:
+    """Every record of the bundles that ``index`` names: footers give frames and records, frames are dealt to tasks.
+
+    Nothing but the names and the sum of ``record_bytes``, for the number of tasks, is taken from ``index``.
+    """
+    frame_schema = "bundle string, at long, packed long, plain long, places array<long>"
 
     def frames(batches):
         for batch in batches:
@@ -194,43 +213,43 @@ def read_bundles(spark: SparkSession, bundles: DataFrame) -> DataFrame:
                 store, path = open_remote(uri)
                 with store.open_input_file(path) as handle:
                     table = read_seek_table(handle, handle.size())
+                    places: list[list[int]] = [[] for _ in table]
+                    for _, frame, offset in read_index(handle, handle.size(), table):
+                        places[frame].append(offset)
                 cols = list(zip(*table, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(table), pa.string()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["bundle", "at", "packed", "plain"])
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(table), pa.string()), *(pa.array(c, pa.int64()) for c in cols), pa.array(places, pa.list_(pa.int64()))], names=[f.split()[0] for f in frame_schema.split(", ")])
 
     def records(batches):
         import zstandard
 
         zstd = zstandard.ZstdDecompressor()
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        uri, handle = None, None
         for batch in batches:
-            handles: dict = {}
             for row in batch.to_pylist():
-                if row["bundle"] not in handles:
+                if row["bundle"] != uri:
                     store, path = open_remote(row["bundle"])
-                    handles = {row["bundle"]: store.open_input_file(path)}
-                data = zstd.decompress(handles[row["bundle"]].read_at(row["packed"], row["at"]), max_output_size=row["plain"])
-                rows = [parsed(head, block) for _, head, block in decode_records(data)]
+                    uri, handle = row["bundle"], store.open_input_file(path)
+                data = zstd.decompress(handle.read_at(row["packed"], row["at"]), max_output_size=row["plain"])
+                rows = [parsed(*decode_record(data, at)) for at in row["places"]]
                 if rows:
-                    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in RECORD_SCHEMA.split(", ")])
 
-    found = bundles.select("bundle").distinct().mapInArrow(frames, frame_schema)
-    return found.repartition("bundle", "at").sortWithinPartitions("bundle", "at").mapInArrow(records, RECORD_SCHEMA)
+    plain = index.agg(F.coalesce(F.sum("record_bytes"), F.lit(0))).first()[0]
+    tasks = max(partitions_for(index), -(-plain // READ_BYTES))  # descriptors are small, what they stand for isn't: a number is given
+    found = index.select("bundle").distinct().mapInArrow(frames, frame_schema)
+    return found.repartition(tasks, "bundle", "at").sortWithinPartitions("bundle", "at").mapInArrow(records, RECORD_SCHEMA)
 
 
 def parsed(head: dict, block: bytes) -> tuple:
-    """Row of RECORD_SCHEMA; a response's length and digest are taken from the stored payload."""
+    """Row of RECORD_SCHEMA; a response's length and digest are taken from the stored payload and checked."""
     http, payload = block.split(b"\r\n\r\n", 1)
-    kind, told = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
+    kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    digest = told
-    if kind == "response":
-        digest, ok = base32_sha1(payload), len(payload) == size
-        ok = ok and digest == told
-        size = len(payload)
-    else:
-        ok = not payload
+    if (base32_sha1(payload), len(payload)) != (digest, size) if kind == "response" else payload:
+        raise ValueError(f"record {head['WARC-Record-ID']} is damaged")
     refers = page_of(head["WARC-Refers-To"]) if kind == "revisit" else None
-    return page_of(head["WARC-Record-ID"]), head["WARC-Record-ID"], head.get("WARC-Target-URI"), size, digest, kind, refers, ok
+    return page_of(head["WARC-Record-ID"]), head["WARC-Record-ID"], head.get("WARC-Target-URI"), size, digest, kind, refers
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

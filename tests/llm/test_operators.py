@@ -230,6 +230,7 @@ def test_warc(spark):
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")
     folder = scratch_path(spark, "warc-test")
     index = warc.write_bundles(warc.link_revisits(df), folder, frame_bytes=200, bundle_bytes=1000)
+    assert {f.dataType.simpleString() for f in index.schema if f.name != "frame"} == {"bigint", "string"}
     reps = {}
     for p, _, h in pages:
         reps[h or ""] = max(reps.get(h or "", -1), -1 if p is None else p)
@@ -237,12 +238,20 @@ def test_warc(spark):
     for p, _, h in pages:
         data, rep = (h or "").encode(), reps[h or ""]
         revisit = rep != p
-        want.append((p, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", rep if revisit else None, True))
-    got = warc.read_bundles(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "stored_ok")
+        want.append((p, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", rep if revisit else None))
+    got = warc.read_bundles(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert table(got) == sorted(want, key=repr)
-    for row in index.collect():  # single records through the seek table
-        head, _ = warc.read_record(row.bundle, row.frame, row.record_offset)
-        assert head["WARC-Record-ID"] == row.record_id
+    for (bundle, own), n in index.groupBy("bundle", "record_id").count().select(F.struct("bundle", "record_id"), "count").collect():  # by identifier, through the footer
+        found = warc.read_records(bundle, own)
+        assert len(found) == n and {h["WARC-Record-ID"] for h, _ in found} == {own}
+    broken = index.filter("page_id = 8").first()
+    path = broken.bundle.removeprefix("file://")
+    with open(path, "rb") as file:
+        data = bytearray(file.read())
+    zstd = __import__("zstandard")
+    plain = zstd.ZstdDecompressor().decompress(bytes(data[broken.frame_offset : broken.frame_offset + broken.frame_bytes])).replace(b"yyyy", b"zyyy", 1)
+    with pytest.raises(ValueError, match="damaged"):
+        warc.parsed(*warc.decode_record(plain, broken.record_offset))
     assert warc.read_bundles(spark, warc.write_bundles(warc.link_revisits(df.limit(0)), folder)).count() == 0
     large = warc.link_revisits(df, min_bytes=5)
     assert large.filter("is_revisit").count() == 1
@@ -281,6 +290,14 @@ def test_media(docs, rows, empty, spark):
         assert mine and all((g.payload_bytes, g.tail_crc32, g.width, g.height) == (len(padded), zlib.crc32(padded[-64:]), 64, len(padded) // 64) for g in mine)
         assert len({(g.media_sha256, g.feature, g.media_bytes) for g in mine}) == 1
     assert sum(map(len, got.values())) == len(rows)
+    some = media.canonical(media.store(docs, folder))
+    for r in media.read_headers(some).join(some, "digest").collect():  # header bytes alone
+        with open(r.shard.removeprefix("file://"), "rb") as file:
+            file.seek(r.offset)
+            stored = file.read(r.length)
+        samples = media.decode_png(stored)
+        assert (r.width, r.height, r.bit_depth) == media.read_header(stored[:33]) == (64, len(samples) // 64, 8)
+        assert hashlib.sha256(samples).digest() == r.digest
     assert media.media_columns(empty, folder).count() == 0
 
 
@@ -401,14 +418,68 @@ def test_quality(spark, docs, rows, empty):
     assert quality.resample(docs, labels.limit(0)).filter("NOT selected").count() == 0
 
 
-def test_kth_largest(spark):
+def brute_ngrams(text, buckets):
+    """Buckets of all n-grams of a text, in plain integers."""
+    whole = 1 << 64
+
+    def mix(h):
+        h = ((h ^ h >> 31) * 0x9E3779B97F4A7C15) % whole
+        return (((h ^ h >> 29) * 0xBF58476D1CE4E5B9) % whole >> 33) % buckets
+
+    tokens = (text or "").split()
+    w = [zlib.crc32(t.lower().encode()) for t in tokens]
+    z = [zlib.crc32(quality.shape(t).encode(), 7) for t in tokens]
+    p, q = 0x1000003, 0x100000001B3
+    out = [mix(x + (1 << 40)) for x in w] + [mix((x * p + y + (1 << 41)) % whole) for x, y in zip(w, w[1:], strict=False)]
+    out += [mix(x + (1 << 42)) for x in z] + [mix((x * p + y + (1 << 43)) % whole) for x, y in zip(z, z[1:], strict=False)]
+    return out + [mix((x * q + y * p + v + (1 << 44)) % whole) for x, y, v in zip(z, z[1:], z[2:], strict=False)]
+
+
+def test_quality_by_brute_force(spark, docs, rows):
+    import xxhash
+
+    buckets = 500
+    labels = {r.doc_id: 0 if r.doc_id % 3 == 1 else 1 for r in rows if r.doc_id is not None and r.doc_id % 2}
+    got = quality.resample(docs, spark.createDataFrame([(i, v, 0) for i, v in labels.items()], "doc_id long, quality int, toxic int"), buckets=buckets).collect()
+    grams = [brute_ngrams(r.text, buckets) for r in rows]
+    target, raw = np.zeros(buckets), np.zeros(buckets)
+    for r, g in zip(rows, grams, strict=True):
+        raw += np.bincount(g, minlength=buckets)
+        target += np.bincount(g, minlength=buckets) * (labels.get(r.doc_id, 0) > 0)
+    ratio = np.log((target + 0.5) / (target.sum() + 0.5 * buckets)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * buckets))
+    want = []
+    for r, g in zip(rows, grams, strict=True):
+        h = 42 if r.doc_id is None else xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little", signed=True), 42)
+        u = ((xxhash.xxh64_intdigest((1).to_bytes(4, "little"), h) >> 12) + 0.5) / (1 << 52)
+        weight = sum(ratio[x] for x in g)
+        want.append((r.doc_id, weight, weight - math.log(-math.log(u))))
+    order = lambda x: (repr(x[0]), round(x[1], 3))
+    for (i, w, k), r in zip(sorted(want, key=order), sorted(got, key=lambda r: (repr(r.doc_id), round(r.log_weight, 3))), strict=True):
+        assert r.doc_id == i and r.log_weight == pytest.approx(w, abs=1e-6) and r.gumbel_key == pytest.approx(k, abs=1e-6)
+    first = {r.doc_id: r.log_weight for r in sorted(got, key=lambda r: -r.log_weight)}
+    good, bad = ([first[i] for i, v in labels.items() if v == kind] for kind in (1, 0))
+    values = sorted(set(good + bad))
+    cost = [quality.GOOD_WORTH * sum(w < v for w in good) / len(good) + sum(w >= v for w in bad) / len(bad) for v in values]
+    best = cost.index(min(cost))
+    limit = values[best] if not best else (values[best] + values[best - 1]) / 2
+    assert quality.threshold(np.array(good), np.array(bad)) == limit
+    k = sum(r.log_weight >= limit for r in got)
+    assert 0 < k < len(got)
+    keys = sorted(got, key=lambda r: (-r.gumbel_key, r._k1, r._k2))
+    kth = keys[k - 1]
+    assert {(r._k1, r._k2) for r in got if r.selected} == {(r._k1, r._k2) for r in keys[:k]} | {(kth._k1, kth._k2)}
+
+
+def test_largest_rows_with_ties(spark):
     gen = random.Random(4)
-    values = [gen.choice([gen.randint(-(1 << 62), 1 << 62), gen.randint(-5, 5)]) for _ in range(300)]
-    df = spark.createDataFrame([(v, i, i * 7 % 31) for i, v in enumerate(values)], "o long, _k1 long, _k2 long")
-    order = sorted(((-v, i, i * 7 % 31) for i, v in enumerate(values)))
-    for k in (1, 2, 57, 150, 300):
-        v, i, j = order[k - 1]
-        assert quality.kth_largest(df, k) == (-v, i, j)
+    values = [gen.choice([gen.randint(-(1 << 62), 1 << 62), gen.randint(-5, 5), 3]) for _ in range(300)]
+    rows = [(v, i % 7, i * 7 % 31) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "o long, a long, b long")
+    order = sorted(rows, reverse=True)
+    for k in (1, 2, 57, 150, 299, 300, 400):
+        got = sorted((tuple(r) for r in df.filter(quality.largest(df, ["o", "a", "b"], k)).collect()), reverse=True)
+        least = order[min(k, 300) - 1]
+        assert got == [r for r in order if r >= least]
 
 
 def unigram_twin(model):
