@@ -48,7 +48,7 @@ FAN = 64
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Units kept with their tokens by a Python worker, and characters of the longest one kept.
-KEPT_UNITS, KEPT_LENGTH = 200_000, 64
+KEPT_UNITS, KEPT_LENGTH = 300_000, 64
 #: Characters whose lattices are solved at once.
 SLAB = 1 << 18
 #: Never formed by a merge; never merged.
@@ -90,6 +90,40 @@ def fields(data: bytes):
             at += size
 
 
+class Numbers:
+    """A map from non-negative 64-bit keys to values, looked up for arrays: open addressing, a quarter full at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        left, place = np.arange(len(keys)), self.place(keys)
+        while len(left):
+            free = left[self.keys[place[left]] < 0]
+            self.keys[place[free]] = keys[free]  # of those that meet in a place one stays
+            stays = left[self.keys[place[left]] == keys[left]]
+            self.values[place[stays]] = values[stays]
+            left = left[self.keys[place[left]] != keys[left]]
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        place = self.place(keys)
+        held = self.keys[place]
+        out = np.where(held == keys, self.values[place], -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[place[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[place[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return out
+
+
 class Vocabulary:
     """Pieces of a model file and their lattice."""
 
@@ -138,25 +172,27 @@ class Vocabulary:
         sizes = np.array([len(p) for p in names])
         self.rank[sizes == 1] = SINGLE
         ways = [(index[p[:i]] * len(names) + index[p[i:]], j) for j, p in enumerate(names) for i in range(1, len(p)) if p[:i] in index and p[i:] in index]
-        ways.sort()
-        self.pairs = np.array([w for w, _ in ways] or [-1], np.int64)
-        self.made = np.array([j for _, j in ways] or [0], np.int64)
+        pairs, made = np.array([w for w, _ in ways], np.int64), np.array([j for _, j in ways], np.int64)
+        self.merges = dict(ways)
+        self.over = Numbers(pairs, self.rank[made])
         self.left_part, self.right_part = np.full(len(names), -1), np.full(len(names), -1)
         #: every piece is formed by merges that get no better on the way, from characters that are pieces
         self.regular = self.kind == UNIGRAM or all(c in index for p in names for c in p)
         if self.kind == BPE and self.regular:
-            left, right = self.pairs // len(names), self.pairs % len(names)
+            left, right = pairs // len(names), pairs % len(names)
             for size in range(2, self.longest + 1):
-                at = np.flatnonzero(sizes[self.made] == size)
+                at = np.flatnonzero(sizes[made] == size)
                 at = at[(self.formed(left[at])) & (self.formed(right[at]))]
                 at = at[self.neighbours_all(left[at], right[at], apart=True)]
-                self.left_part[self.made[at]], self.right_part[self.made[at]] = left[at], right[at]
+                self.left_part[made[at]], self.right_part[made[at]] = left[at], right[at]
             several = self.left_part >= 0
             worst = np.maximum(self.rank[self.left_part[several]], self.rank[self.right_part[several]])
             self.regular = bool((self.rank[several] >= worst).all())
         self.piece_at = index
         valid = self.formed(np.arange(len(names))) if self.regular else np.array([self.alone(p) for p in names])
         self.letters = np.array(sorted({ord(c) for p in names for c in p}), np.int64)
+        self.letter_of = np.zeros(int(self.letters[-1]) + 2, np.int64)
+        self.letter_of[self.letters] = np.arange(1, len(self.letters) + 1)
         place = {chr(c): i + 1 for i, c in enumerate(self.letters.tolist())}
         trie: dict[int, int] = {}
         ends = {}
@@ -166,8 +202,7 @@ class Vocabulary:
                 node = trie.setdefault(node * (len(place) + 1) + place[c], len(trie) + 1)
             if valid[j]:
                 ends[node] = j
-        self.trie_keys = np.array(sorted(trie), np.int64)
-        self.trie_next = np.array([trie[k] for k in self.trie_keys.tolist()], np.int64)
+        self.trie = Numbers(np.array(list(trie), np.int64), np.array(list(trie.values()), np.int64))
         self.trie_piece = np.full(len(trie) + 1, -1)
         self.trie_piece[list(ends)] = list(ends.values())
 
@@ -182,10 +217,8 @@ class Vocabulary:
             return out
         on, before = np.arange(len(left)), np.full(len(left), NO_MERGE)
         while len(on):
-            key = left * len(self.rank) + right
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            over = np.where(self.pairs[at] == key, self.rank[self.made[at]], NO_MERGE)
-            stop = (over < before) & (not apart)
+            over = self.over.get(left * len(self.rank) + right)
+            stop = (over >= 0) & (over < before) & (not apart)
             out[on[stop]] = False
             apart = False
             a, b = self.rank[left], self.rank[right]
@@ -224,9 +257,8 @@ class Vocabulary:
             return True
         x, y, before = self.piece_at[left], self.piece_at[right], NO_MERGE
         while True:
-            key = x * len(self.rank) + y
-            at = int(np.searchsorted(self.pairs, key))
-            if at < len(self.pairs) and self.pairs[at] == key and self.rank[self.made[at]] < before:
+            over = self.merges.get(x * len(self.rank) + y)
+            if over is not None and self.rank[over] < before:
                 return False
             a, b = self.rank[x], self.rank[y]
             if a == SINGLE and b == SINGLE:
@@ -275,17 +307,15 @@ class Vocabulary:
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
         ends = np.cumsum(sizes)
         begin, end = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
-        at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
-        letters = np.where(self.letters[at] == points, at + 1, 0)
+        letters = self.letter_of[np.minimum(points, len(self.letter_of) - 1)]
         # all pieces at all places
         start, node, found = np.arange(len(points)), np.zeros(len(points), np.int64), []
         for size in range(1, self.longest + 1):
             inside = start + size <= end[start]
             start, node = start[inside], node[inside]
-            key = node * (len(self.letters) + 1) + letters[start + size - 1]
-            at = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
-            there = self.trie_keys[at] == key
-            start, node = start[there], self.trie_next[at[there]]
+            node = self.trie.get(node * (len(self.letters) + 1) + letters[start + size - 1])
+            there = node >= 0
+            start, node = start[there], node[there]
             piece = self.trie_piece[node]
             hit = piece >= 0
             found.append((start[hit], np.full(int(hit.sum()), size), piece[hit]))
@@ -340,22 +370,25 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Tokens of texts as the lattice sees them, which begin and end at free places."""
         cut = [UNIT.findall(t) if self.free else [t] * bool(t) for t in texts]
-        new = {u for units in cut for u in units if u not in self.kept}
+        every = set().union(*cut)
+        new = every.difference(self.kept)
         if len(self.kept) + len(new) > KEPT_UNITS:
             self.kept.clear()
-            new = {u for units in cut for u in units}
-        known, slab, size = {}, [], 0
-        for unit in [*sorted(new), None]:
-            if unit is None or size + len(unit) > SLAB:
-                if slab:
-                    known.update(zip(slab, self.solve(slab), strict=True))
+            new = every
+        slab, size = [], 0
+        for unit in new:
+            slab.append(unit)
+            size += len(unit)
+            if size >= SLAB:
+                self.kept.update(zip(slab, self.solve(slab), strict=True))
                 slab, size = [], 0
-            if unit is not None:
-                slab.append(unit)
-                size += len(unit)
-        self.kept.update((u, t) for u, t in known.items() if len(u) <= KEPT_LENGTH)
-        known = {u: t for u, t in known.items() if len(u) > KEPT_LENGTH}
-        return [b"".join([self.kept[u] if u in self.kept else known[u] for u in units]) for units in cut]
+        if slab:
+            self.kept.update(zip(slab, self.solve(slab), strict=True))
+        out = [b"".join(map(self.kept.__getitem__, units)) for units in cut]
+        for unit in new:
+            if len(unit) > KEPT_LENGTH:
+                del self.kept[unit]
+        return out
 
     def free_places(self, text: str, before: str) -> tuple[int, int] | None:
         """First and last place of ``text`` that no piece crosses; ``before``: what stands before it."""
@@ -696,7 +729,9 @@ def encode_long(texts: DataFrame, model: bytes, chunk: int, fan: int) -> DataFra
 
     found = materialize(texts.mapInArrow(matrices, MATRIX_SCHEMA), "matrices")
     states = states_at_cuts(found, fan)
-    return texts.mapInArrow(cut, PIECE_SCHEMA).join(states, [*KEYS, "piece"]).mapInArrow(trace, TOKEN_SCHEMA)
+    # the one move of texts: the chunks of a giant one are traced by all tasks, however small the states' table is
+    dealt = texts.mapInArrow(cut, PIECE_SCHEMA).repartition(partitions_for(texts), *KEYS, "piece")
+    return dealt.join(states, [*KEYS, "piece"]).mapInArrow(trace, TOKEN_SCHEMA)
 
 
 def joined_in_order(batches, model: bytes, with_text: bool):
