@@ -58,14 +58,32 @@ def key_parts(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def ask_repeats(chunk: str, kind: int, keys: np.ndarray, parts: int) -> pa.RecordBatch:
-    """The question which of ``keys`` occur twice or more, over all chunks and within this one."""
-    own, counts = np.unique(keys, return_counts=True)
-    bounds = np.searchsorted(key_parts(own, parts), np.arange(parts + 1))
+def distinct_pairs(keys: np.ndarray, more: np.ndarray):
+    """Distinct (key, more) sorted by key, the place of each row among them, and their counts."""
+    order = np.lexsort((more, keys))
+    a, b = keys[order], more[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    index = np.empty(len(a), np.int64)
+    index[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return (a[at], b[at]), index, np.diff(np.append(at, len(a)))
+
+
+def distinct(keys: np.ndarray, more: np.ndarray | None):
+    if more is not None:
+        return distinct_pairs(keys, more)
+    own, index, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    return (own, None), index, counts
+
+
+def ask_repeats(chunk: str, kind: int, keys: np.ndarray, parts: int, more: np.ndarray | None = None) -> pa.RecordBatch:
+    """The question which of ``keys`` occur twice or more, over all chunks and within this one; with ``more``, which pairs of both."""
+    own, _, counts = distinct(keys, more)
+    bounds = np.searchsorted(key_parts(own[0], parts), np.arange(parts + 1))
     rows = []
     for p in np.flatnonzero(np.diff(bounds)):
         at = slice(bounds[p], bounds[p + 1])
-        rows.append((chunk, kind, int(p), pack(planes(np.diff(own[at], prepend=np.uint64(0))), np.packbits(counts[at] > 1)), None))
+        rows.append((chunk, kind, int(p), pack(planes(np.diff(own[0][at], prepend=np.uint64(0))), np.packbits(counts[at] > 1), b"" if more is None else own[1][at]), None))
     return rows_batch(rows)
 
 
@@ -74,7 +92,8 @@ def answer_repeats(key, table):
     asked = [unpack(b) for b in table["blob"].to_pylist()]
     keys = [np.cumsum(from_planes(a[0], np.uint64), dtype=np.uint64) for a in asked]
     many = np.concatenate([np.unpackbits(np.frombuffer(a[1], np.uint8))[: len(k)] for a, k in zip(asked, keys, strict=True)])
-    _, index = np.unique(np.concatenate(keys), return_inverse=True)
+    more = np.concatenate([np.frombuffer(a[2], np.uint64) for a in asked])
+    _, index, _ = distinct(np.concatenate(keys), more if len(more) else None)
     repeated = np.bincount(index, weights=1 + many) > 1
     out, at = [], 0
     for chunk, own in zip(table["chunk"].to_pylist(), keys, strict=True):
@@ -88,9 +107,9 @@ def repeats(asked: DataFrame) -> DataFrame:
     return asked.groupBy("kind", "part").applyInArrow(answer_repeats, BLOB_SCHEMA)
 
 
-def told(keys: np.ndarray, answers: dict[int, bytes], parts: int) -> np.ndarray:
-    """Whether each of ``keys`` is repeated, by the blobs of :func:`answer_repeats` of one kind."""
-    own, index = np.unique(keys, return_inverse=True)
+def told(keys: np.ndarray, answers: dict[int, bytes], parts: int, more: np.ndarray | None = None) -> np.ndarray:
+    """Whether each of ``keys`` (and ``more``) is repeated, by the blobs of :func:`answer_repeats` of one kind."""
+    (own, _), index, _ = distinct(keys, more)
     bounds = np.searchsorted(key_parts(own, parts), np.arange(parts + 1))
     flags = np.zeros(len(own), bool)
     for p in np.flatnonzero(np.diff(bounds)):
@@ -100,32 +119,19 @@ def told(keys: np.ndarray, answers: dict[int, bytes], parts: int) -> np.ndarray:
 
 
 def ask_splits(chunk: str, kind: int, keys: np.ndarray, finer: np.ndarray, parts: int) -> pa.RecordBatch:
-    """The question how buckets ``keys`` split into buckets ``finer`` (48 bits are compared; 0: alone).
+    """The question how buckets ``keys`` split into buckets ``finer``.
 
     Rows with finer identifier 0 are never equal to others.
     """
-    own, index, counts = distinct_splits(keys, finer)
+    own, _, counts = distinct_pairs(keys, finer)
     bounds = np.searchsorted(key_parts(own[0], parts), np.arange(parts + 1))
     rows = []
     for p in np.flatnonzero(np.diff(bounds)):
         at = slice(bounds[p], bounds[p + 1])
-        low = np.ascontiguousarray((own[1][at]).view(np.uint8).reshape(-1, 8)[:, :6])
-        rows.append((chunk, kind, int(p), pack(planes(np.diff(own[0][at], prepend=np.uint64(0))), low, np.minimum(counts[at], 2).astype(np.uint8)), None))
+        rows.append((chunk, kind, int(p), pack(planes(np.diff(own[0][at], prepend=np.uint64(0))), own[1][at], np.minimum(counts[at], 2).astype(np.uint8)), None))
     return rows_batch(rows)
 
 
-def distinct_splits(keys: np.ndarray, finer: np.ndarray):
-    """Distinct (key, finer) sorted by key, the place of each row among them, and their counts."""
-    finer = finer & np.uint64((1 << 48) - 1)
-    order = np.lexsort((finer, keys))
-    a, b = keys[order], finer[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-    index = np.empty(len(a), np.int64)
-    index[order] = np.cumsum(new) - 1
-    at = np.flatnonzero(new)
-    return (a[at], b[at]), index, np.diff(np.append(at, len(a)))
-
-
 ALONE, SETTLED, OPEN, SETTLED_AMONG_OPEN = 0, 1, 2, 3
 
 
@@ -137,15 +143,10 @@ def answer_splits(key, table):
     """
     asked = [unpack(b) for b in table["blob"].to_pylist()]
     keys = [np.cumsum(from_planes(a[0], np.uint64), dtype=np.uint64) for a in asked]
-    finer = []
-    for a in asked:
-        low = np.frombuffer(a[1], np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(low), 8), np.uint8)
-        wide[:, :6] = low
-        finer.append(wide.view(np.uint64).ravel())
+    finer = [np.frombuffer(a[1], np.uint64) for a in asked]
     times = np.concatenate([np.frombuffer(a[2], np.uint8) for a in asked]).astype(np.float64)
     all_keys, all_finer = np.concatenate(keys), np.concatenate(finer)
-    pairs, of_pair, _ = distinct_splits(all_keys, all_finer)
+    pairs, of_pair, _ = distinct_pairs(all_keys, all_finer)
     new_key = np.cumsum(np.append(False, pairs[0][1:] != pairs[0][:-1]))
     pair_count = np.bincount(of_pair, weights=times)
     key_count = np.bincount(new_key, weights=pair_count)[new_key]
@@ -166,7 +167,7 @@ def splits(asked: DataFrame) -> DataFrame:
 
 def told_splits(keys: np.ndarray, finer: np.ndarray, answers: dict[int, bytes], parts: int) -> np.ndarray:
     """The code of each row, by the blobs of :func:`answer_splits`."""
-    own, index, _ = distinct_splits(keys, finer)
+    own, index, _ = distinct_pairs(keys, finer)
     bounds = np.searchsorted(key_parts(own[0], parts), np.arange(parts + 1))
     codes = np.zeros(len(own[0]), np.uint8)
     for p in np.flatnonzero(np.diff(bounds)):

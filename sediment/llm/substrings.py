@@ -5,7 +5,7 @@ the input. Full suffix arrays are not built; the order of suffixes is only neede
 question "do two suffixes share ``length`` bytes", so buckets of equal identifiers stand for it:
 
 * the identifier of a 2q-gram at i is made from the identifiers of the q-grams at i and at the
-  later offset i + q, from single bytes up to 128, and these are reused for every length;
+  later offset i + q, from single bytes up to the largest power of two needed, and these are reused for every length;
 * round 0 keeps, of the q-grams within each string of ``length`` bytes, the least one (its
   anchor), and drops anchors alone in their bucket;
 * round 1 refines the buckets of the anchors that are left: the strings around an anchor fall
@@ -15,7 +15,9 @@ question "do two suffixes share ``length`` bytes", so buckets of equal identifie
   bytes; settled members of those buckets are asked too, as partners of the open ones.
 
 Every round asks which bucket identifiers (64-bit hashes) occur twice; see ``exchange``.
-Equal strings have equal anchors and blocks, so no repeat is missed.
+Equal strings have equal anchors and blocks, so no repeat is missed. Identifiers alone only make
+candidates: blocks and single strings count as repeated when a second 64-bit hash, made from their bytes and from
+nothing else, agrees as well, 128 bits in all (64 for blocks that share all but the outer 15 bytes at either side).
 
 Nulls are empty texts. Repeated rows repeat each other's bytes. Texts shorter than
 ``length`` lose nothing. Empty tables give no rows. Extra columns are ignored.
@@ -45,7 +47,7 @@ STRETCH = 1 << 17
 #: Bytes of text whose keys one part answers for, about.
 PART_BYTES = 32 << 20
 
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
+_A, _B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def joined(left: np.ndarray, right: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -60,12 +62,13 @@ def joined(left: np.ndarray, right: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 class Text:
-    """Identifiers of all grams of a stretch of bytes, by doubling."""
+    """Identifiers of all grams of a stretch of bytes, by doubling up to ``top`` bytes."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, top: int = 128):
+        self.top = top
         self.of = {1: joined(data.astype(np.uint64), np.zeros(1, np.uint64), 1)}
         size = 1
-        while size < 128:
+        while size < top:
             wide = self.of[size]
             n = max(0, len(wide) - size)
             self.of[2 * size] = joined(wide[:n], wide[size : size + n], 2 * size)
@@ -79,8 +82,11 @@ class Text:
         return joined(self.of[32][:n], self.of[8][32 : 32 + n], 40)
 
     def at(self, where: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
-        """Identifiers of ``size`` bytes (128 to 256) at some positions."""
-        return joined(self.of[128][where], self.of[128][where + size - 128], size + (salt << 16))
+        """Identifiers of ``size`` bytes (``top`` or more) at some positions."""
+        out = self.of[self.top][where]
+        for at in [*range(self.top, size - self.top, self.top), size - self.top]:
+            out = joined(out, self.of[self.top][where + at], size + (salt << 16))
+        return out
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -99,17 +105,33 @@ class Chunk:
     def __init__(self, blob: bytes, length: int):
         data, sizes = unpack(blob)[:2]
         self.data, self.sizes, self.length = np.frombuffer(data, np.uint8), np.frombuffer(sizes, np.int64), length
+        self.top = 1 << (length - BLOCK + 1).bit_length() - 1
         self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
         self.ends = self.starts + self.sizes
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes + 1)
 
+    def bytes_at(self, where: np.ndarray, size: int) -> np.ndarray:
+        """A hash of the ``size`` bytes at some positions that owes nothing to the identifiers."""
+        out = np.full(len(where), size, np.uint64)
+        if not len(where):
+            return out
+        words = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
+        with np.errstate(over="ignore"):
+            for low in range(0, len(where), STRETCH):
+                part, mixed = where[low : low + STRETCH], out[low : low + STRETCH]
+                for at in [*range(0, size - 8, 8), size - 8]:
+                    mixed ^= words[part + at]
+                    mixed *= _D
+                    mixed ^= mixed >> np.uint64(31)
+        return out
+
     def stretches(self, size: int = STRETCH):
         """(Text, base, low, high, p, first, last, doc, key) of each stretch of starts: its anchors and the starts they stand for."""
         length, width = self.length, self.length - GRAM + 1
         for low in range(0, len(self.data), size):
             high = min(len(self.data), low + size)  # starts in [low, high)
             base, end = max(0, low - BLOCK), min(len(self.data), high + 2 * length + BLOCK)
-            text = Text(self.data[base:end])
+            text = Text(self.data[base:end], self.top)
             grams = text.grams()
             start = np.arange(low, high)
             doc = self.doc[low:high]
@@ -131,7 +153,7 @@ class Chunk:
         """Blocks of the anchors that are left, stretch by stretch: (text, base, low, high, core, full).
 
         low, high: first and last start; core: identifier of the bytes common to all strings of
-        the block; full: of all their bytes, 0 where the document ends before them.
+        the block; full: a hash of all their bytes, 0 where the document ends before them.
         """
         at = 0
         for text, base, least_start, end_start, p, first, last, doc, _ in self.stretches():
@@ -149,7 +171,7 @@ class Chunk:
             full = np.zeros(len(q), np.uint64)
             # a block cut by the stretch's ends is told by its strings, so that it isn't counted twice
             whole = (q - BLOCK + 1 >= np.maximum(self.starts[doc[of]], least_start)) & (q < end_start) & (q + self.length <= self.ends[doc[of]])
-            full[whole] = joined(text.at(q[whole] - BLOCK + 1 - base, self.length + BLOCK - 1), salt[whole], 5) | np.uint64(1)
+            full[whole] = self.bytes_at(q[whole] - BLOCK + 1, self.length + BLOCK - 1) | np.uint64(1)
             yield text, base, low, high, core, full
 
 
@@ -224,8 +246,12 @@ def round_2(length: int, parts: int):
         rows = table.to_pylist()
         own = next(r for r in rows if r["kind"] == 0)
         chunk = Chunk(own["blob"], length)
-        keys = [text.at(starts_of(low[c != SETTLED], high[c != SETTLED]) - base, length) for text, base, low, high, c in opened(chunk, rows, parts)]
-        return pa.Table.from_batches([ask_repeats(own["chunk"], 3, np.concatenate([np.empty(0, np.uint64), *keys]), parts)])
+        keys, checks = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for text, base, low, high, c in opened(chunk, rows, parts):
+            starts = starts_of(low[c != SETTLED], high[c != SETTLED])
+            keys.append(text.at(starts - base, length))
+            checks.append(chunk.bytes_at(starts, length))
+        return pa.Table.from_batches([ask_repeats(own["chunk"], 3, np.concatenate(keys), parts, np.concatenate(checks))])
 
     return ask
 
@@ -243,7 +269,8 @@ def spans_of(chunk: Chunk, rows: list[dict], parts: int) -> tuple[np.ndarray, np
         own.append(np.repeat(code[asked] == OPEN, (high - low + 1)[asked]))
     if not lows:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    repeated = np.concatenate(single)[told(np.concatenate(keys), answers_of(rows, 3), parts) & np.concatenate(own)]
+    single, keys = np.concatenate(single), np.concatenate(keys)
+    repeated = single[told(keys, answers_of(rows, 3), parts, chunk.bytes_at(single, chunk.length)) & np.concatenate(own)]
     low, high = np.concatenate([*lows, repeated]), np.concatenate([*highs, repeated]) + chunk.length
     order = np.argsort(low, kind="stable")
     low, high = low[order], np.maximum.accumulate(high[order])
@@ -289,8 +316,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kept is the remaining text, null unless asked for; bytes of a character that was cut are left out of it.
     """
-    if not 150 <= length <= 240:
-        raise ValueError("length must be between 150 and 240 bytes")
+    if length < 64:
+        raise ValueError("length must be 64 bytes at least")
     rows = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data"))
     chunks = materialize(rows.mapInArrow(gather, BLOB_SCHEMA), "substring-chunks")
     total = chunks.agg(F.coalesce(F.sum("part"), F.lit(0))).first()[0]

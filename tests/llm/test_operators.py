@@ -126,6 +126,47 @@ def test_substrings(docs, rows, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def local_repeats(data, length, parts=3, chunks=4):
+    """The rounds of the operator without Spark: (removed bytes, spans, digest) of each text."""
+    cut = [list(range(i, len(data), chunks)) for i in range(chunks)]
+    blobs = []
+    for own in cut:
+        n = len(own)
+        batch = pa.RecordBatch.from_arrays([pa.array([data[i] for i in own], pa.binary()), pa.array(own, pa.int64()), pa.array([0] * n, pa.int64()), pa.array([0] * n, pa.int64())], names=["data", "doc_id", "_k1", "_k2"])
+        blobs += list(substrings.gather([batch]))
+    chunk_rows = pa.Table.from_batches(blobs)
+    known = chunk_rows
+
+    def answers(asked, answer):
+        asked = pa.concat_tables(asked)
+        out = []
+        for kind, part in sorted(set(zip(asked["kind"].to_pylist(), asked["part"].to_pylist(), strict=True))):
+            mine = asked.filter((pa.compute.field("kind") == kind) & (pa.compute.field("part") == part))
+            out.append(answer((pa.scalar(kind), pa.scalar(part)), mine))
+        return out
+
+    def each(function):
+        return [function(None, known.filter(pa.compute.field("chunk") == c)) for c in chunk_rows["chunk"].to_pylist()]
+
+    first = [pa.Table.from_batches([b]) for b in substrings.round_0(length, parts)(blobs)]
+    known = pa.concat_tables([known, *answers(first, substrings.repeats.__globals__["answer_repeats"])])
+    known = pa.concat_tables([known, *answers(each(substrings.round_1(length, parts)), substrings.splits.__globals__["answer_splits"])])
+    known = pa.concat_tables([known, *answers(each(substrings.round_2(length, parts)), substrings.repeats.__globals__["answer_repeats"])])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for t in each(substrings.cut_out(length, parts, False)) for r in t.to_pylist()}
+    return [got[i] for i in range(len(data))]
+
+
+@pytest.mark.parametrize("length, bits", [(200, 64), (200, 9), (200, 4), (64, 64), (64, 6), (130, 64), (260, 64), (300, 8), (520, 64)])
+def test_substrings_are_told_by_their_bytes(monkeypatch, length, bits):
+    rng = random.Random(length + bits)
+    own = substrings.joined
+    # identifiers of few bits make different strings meet in buckets of every round
+    monkeypatch.setattr(substrings, "joined", lambda *a: own(*a) & np.uint64(((1 << bits) - 1) << (64 - bits)) if bits < 64 else own(*a))
+    parts = [bytes(rng.randrange(256) for _ in range(rng.randint(0, 2 * length))) for _ in range(8)]
+    data = [b"".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) + bytes(rng.randrange(256) for _ in range(rng.randint(0, 40))) for _ in range(25)] + [b"x" * (2 * length + 7), b"", b"ab" * length]
+    assert local_repeats(data, length) == brute_repeats(data, length)
+
+
 def test_substrings_in_small_stretches():
     rng = random.Random(2)
     alphabet = b"ab"
