@@ -63,7 +63,9 @@ def windows_words(bits: Column) -> Column:
 
 def seconds_of_1858(time: Column) -> Column:
     """Seconds since 1970 of a time in 100 ns since 1858 (floor)."""
-    return F.floor((time - F.lit(EPOCH_1858)) / 10_000_000).cast("long")
+    ticks = time - F.lit(EPOCH_1858)
+    # whole seconds first: a quotient of doubles would round up just below one
+    return F.round((ticks - F.pmod(ticks, F.lit(10_000_000))) / 10_000_000).cast("long")
 
 
 def date_text(time: Column) -> Column:

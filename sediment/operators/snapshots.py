@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,51 @@ def first_difference(saved: DataFrame, found: DataFrame, keys: list[str], column
     return joined.select(*(f"l.{k}" for k in keys), report.otherwise("same").alias("difference"))
 
 
+#: Octets of a data record: content is compared record by record.
+RECORD_OCTETS = 1 << 20
+
+
+def first_octet(a: Column, b: Column) -> Column:
+    """Place of the first octet in which two binary columns differ as far as both go; null if in none, or if one is null.
+
+    Vectors of octets have no built-in function that isn't quadratic in them, so this one is Python's.
+    """
+
+    @F.pandas_udf("long")
+    def place(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(p, q):
+            if p is None or q is None:
+                return None
+            n = min(len(p), len(q))
+            other = np.flatnonzero(np.frombuffer(p, np.uint8, n) != np.frombuffer(q, np.uint8, n))
+            return int(other[0]) if len(other) else None
+
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="Int64")
+
+    return place(a, b)
+
+
+def compare_entries(saved: DataFrame, found: DataFrame, key: str = "path") -> DataFrame:
+    """One report for each saved entry (key, ftype, link, content): the first difference of what is found, or ``same``.
+
+    Entries have to be there, of the same type, links with the same target; regular files are
+    compared record by record: a record that the found file has no longer is ``shorter``, one with other bytes
+    ``octet N``; after them the sizes. Modes, owners and times are not compared, and what is only found is not reported.
+    """
+    columns = ["ftype", "link", "content"]
+    joined = saved.select(key, *(F.col(c).alias(f"s_{c}") for c in columns)).join(found.select(key, F.lit(True).alias("there"), *(F.col(c).alias(f"f_{c}") for c in columns)), key, "left")
+    a, b = F.coalesce(F.length("s_content"), F.lit(0)), F.coalesce(F.length("f_content"), F.lit(0))
+    # the first record that is not all there; octets after its begin are not compared
+    cut = F.when(b < a, F.floor(b / RECORD_OCTETS) * RECORD_OCTETS).otherwise(a)
+    # equal contents stay where they are: only others go to Python
+    other = ~F.col("s_content").eqNullSafe(F.col("f_content"))
+    octet = first_octet(F.when(other, F.col("s_content")), F.when(other, F.col("f_content")))
+    report = F.when(F.col("there").isNull(), "missing").when(F.col("s_ftype") != F.col("f_ftype"), "type")
+    report = report.when(~F.col("s_link").eqNullSafe(F.col("f_link")), "link")
+    report = report.when(F.col("octet") < cut, F.concat(F.lit("octet "), "octet")).when(b < a, "shorter").when(b > a, "size")
+    return joined.withColumn("octet", octet).select(key, report.otherwise("same").alias("difference"))
+
+
 def lost(catalog: DataFrame, delivered: DataFrame, key: str) -> DataFrame:
     """Catalogued rows that were not delivered."""
     return catalog.join(delivered, key, "left_anti")

@@ -8,21 +8,9 @@ from pyspark.sql import functions as F
 from sediment.functions import scalars
 from sediment.operators import selection
 from sediment.operators.packing import numbered
+from sediment.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    """Registers a plan under its function's name."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,10 +24,10 @@ def list_totals(spark, sf_dir):
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1' OR p_name LIKE 'P__t%2%'")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%rod' OR p_name LIKE 'l_rge%t'")
 def list_select(spark, sf_dir):
     """Parts by name patterns with both wildcards."""
-    return selection.select(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", selection.split_list("*1,P%?t*2*"))
+    return selection.select(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", selection.split_list("*rod,\"l%rge*t\""))
 
 
 @query("SELECT page_id, url FROM pages WHERE NOT (url LIKE '%.example.com/fr/%') AND url LIKE 'http%'")

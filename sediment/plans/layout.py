@@ -6,22 +6,12 @@ from pyspark.sql import functions as F
 
 from sediment.operators import packing
 from sediment.plans.catalog import read
+from sediment.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES, ORACLES, query = registry()
 ORDER = ["o_orderkey"]
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 def blocks(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("long").alias("price"))
     return packing.numbered(orders, ORDER)

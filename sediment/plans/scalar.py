@@ -4,21 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sediment.functions import scalars
+from sediment.functions import crc, scalars
 from sediment.plans.catalog import read
+from sediment.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -28,12 +18,11 @@ def content_digest(spark, sf_dir):
 
 @query()
 def file_crc(spark, sf_dir):
-    """CRC-32 of the text in chunks of 1000 bytes put together in order."""
+    """CRC-32 of texts from the CRCs of their pieces of 1000 octets."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.length("data") - 1, F.lit(0)), F.lit(1000))).alias("off")
-    pieces = docs.select("doc_id", at, F.expr("substring(data, off + 1, 1000)").alias("piece"))
-    ordered = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("off", F.hex("piece").alias("piece")))).alias("pieces"))
-    return ordered.select("doc_id", F.crc32(F.unhex(F.array_join("pieces.piece", ""))).alias("crc"))
+    pieces = docs.select("doc_id", at, "data").select("doc_id", F.crc32(F.expr("substring(data, off + 1, 1000)")).alias("crc"), F.greatest(F.length("data") - F.col("off") - 1000, F.lit(0)).cast("long").alias("after"))
+    return crc.combined(pieces, "doc_id", "crc", "after")
 
 
 @query("""
@@ -65,7 +54,7 @@ def modes(spark, sf_dir):
 def vms_time(spark, sf_dir):
     """Times in 100 ns since 1858 to seconds since 1970."""
     raw = F.lit(scalars.EPOCH_1858) + (F.lit(1_000_000_000) + F.col("event_id")) * 10_000_000 + 9_999_999
-    return read(spark, sf_dir, "events").select("event_id", F.expr("1").alias("_"), raw.alias("raw")).select("event_id", F.expr(f"(raw - {scalars.EPOCH_1858}L) div 10000000").alias("sec"))
+    return read(spark, sf_dir, "events").select("event_id", raw.alias("raw")).select("event_id", scalars.seconds_of_1858(F.col("raw")).alias("sec"))
 
 
 @query("SELECT o_orderkey, lpad(upper(strftime(o_orderdate, '%-d-%b-%Y %H:%M:%S.') || lpad((date_part('microsecond', o_orderdate)::BIGINT % 1000000 // 10000)::VARCHAR, 2, '0')), 23, ' ') AS text FROM orders")

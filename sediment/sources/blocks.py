@@ -9,7 +9,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,16 +23,21 @@ DATA, XOR, VHDR, TRAILER, EDATA, ETRAILER, PARITY = 1, 2, 3, 4, 5, 6, 7
 SUMMARY, FILE, DATA_RECORD, FEND, CATALOG, END, DATAZ, SOLID = 1, 2, 3, 4, 5, 6, 7, 8
 NONE = 0xFFFFFFFF
 LAST_IN_VOLUME, LAST_IN_SET = 1, 2
+#: States of a catalog entry; PRESENT: covered, but saved by an earlier saveset.
+OK, CHANGED, READ_ERROR, PRESENT = 0, 1, 2, 3
+REGULAR, DIRECTORY, SYMBOLIC_LINK, HARD_LINK = 1, 2, 3, 4
+FULL, INCREMENTAL = 0, 1
 MAX_RECORD, MAX_DATA, MAX_SOLID_RAW, MAX_SOLID = 16 << 20, 1 << 20, 1_114_112, 262_144
+PIECE = 1 << 16
 TAGS = {
     "fileno": 1, "path": 2, "ftype": 3, "mode": 4, "uid": 5, "gid": 6, "uname": 7, "gname": 8, "size": 9, "mtime": 10, "atime": 11, "ctime": 12, "btime": 13, "rdev": 14, "link": 15,
     "xattr": 16, "fsflags": 17, "devino": 18, "baseidx": 19, "nlink": 20, "winattr": 21, "ntsd": 22, "solid": 23, "crc": 32, "status": 33, "locvol": 34, "locblk": 35, "locoff": 36,
-    "product": 64, "created": 68, "base": 69, "blocksize": 70, "groupsize": 71, "volsize": 72, "comment": 73, "kind": 75, "compress": 77, "cipher": 88, "kdf": 89, "kdfiter": 90, "salt": 91, "keycheck": 92, "parity": 93,
-    "nfiles": 96, "nbytes": 97, "nerrors": 98, "nblocks": 99, "catvol": 100, "catblk": 101, "catoff": 102, "nvols": 103, "nentries": 104,
+    "product": 64, "created": 68, "base": 69, "blocksize": 70, "groupsize": 71, "volsize": 72, "comment": 73, "kind": 75, "filter": 76, "compress": 77, "cipher": 88, "kdf": 89, "kdfiter": 90, "salt": 91, "keycheck": 92, "parity": 93,
+    "nfiles": 96, "nbytes": 97, "nerrors": 98, "nblocks": 99, "catvol": 100, "catblk": 101, "catoff": 102, "nvols": 103, "nentries": 104, "ssuuid": 128, "spec": 129, "recorded": 130,
 }
 WIDTHS = {"ftype": 1, "solid": 1, "status": 1, "kind": 1, "compress": 1, "cipher": 1, "kdf": 1, "parity": 1, "baseidx": 2, "size": 8, "rdev": 8, "locblk": 8, "volsize": 8, "nfiles": 8, "nbytes": 8, "nblocks": 8, "catblk": 8, "nentries": 8}
-RAW = {"path", "uname", "gname", "link", "xattr", "ntsd", "product", "base", "comment", "devino", "salt", "keycheck"}
-TIMES = {"mtime", "atime", "ctime", "btime", "created"}
+RAW = {"path", "uname", "gname", "link", "xattr", "ntsd", "product", "base", "comment", "filter", "devino", "salt", "keycheck", "ssuuid", "spec"}
+TIMES = {"mtime", "atime", "ctime", "btime", "created", "recorded"}
 NAMES = {v: k for k, v in TAGS.items()}
 
 
@@ -71,6 +76,20 @@ def tlv_items(body: bytes) -> dict:
     return out
 
 
+class Volume:
+    """Bytes of a volume, read by place; slices work as on ``bytes``."""
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read, self.size = read, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        start, stop, _ = part.indices(self.size)
+        return self.read(start, stop - start) if stop > start else b""
+
+
 @dataclass
 class Block:
     type: int
@@ -241,34 +260,54 @@ class Writer:
         return [b"".join(b.sealed(self.layout.block) for b in volume) for volume in self.volumes]
 
 
-def file_records(fileno: int, attributes: dict, data: bytes | None, codec: int) -> list[tuple[int, bytes]]:
-    """FILE, data and FEND records of one file; 64 KiB pieces of zeros are holes."""
-    out = [(FILE, tlv(fileno=fileno, size=len(data or b""), **attributes))]
+def regions_of(data: bytes) -> Iterator[tuple[int, int]]:
+    """Runs (begin, end) of 64 KiB pieces that are not all zeros."""
+    begin = None
+    for at in range(0, len(data), PIECE):
+        if data.count(0, at, at + PIECE) < min(PIECE, len(data) - at):
+            begin = at if begin is None else begin
+        elif begin is not None:
+            yield begin, at
+            begin = None
+    if begin is not None:
+        yield begin, len(data)
+
+
+def file_records(fileno: int, attributes: dict, data: bytes | None, codec: int) -> tuple[list[tuple[int, bytes]], int]:
+    """FILE, data and FEND records of one file, and the CRC of its data; 64 KiB pieces of zeros are holes."""
+    status = attributes.get("status", OK)
+    told = {k: v for k, v in attributes.items() if k != "status"}
+    out = [(FILE, tlv(fileno=fileno, size=len(data or b""), **told))]
     crc = 0
-    for at in range(0, len(data or b""), MAX_DATA):
-        piece = data[at : at + MAX_DATA]
+    for at, end in ((a, min(a + MAX_DATA, end)) for begin, end in regions_of(data or b"") for a in range(begin, end, MAX_DATA)):
+        piece = data[at:end]
         crc = zlib.crc32(piece, crc)
         packed = codecs.pack(piece, codec) if codec else None
         if packed is None:
             out.append((DATA_RECORD, struct.pack("<IIQ", fileno, 0, at) + piece))
         else:
             out.append((DATAZ, struct.pack("<IIQI", fileno, codec, at, len(piece)) + packed))
-    out.append((FEND, tlv(fileno=fileno, size=len(data or b""), crc=crc, status=0)))
-    return out
+    out.append((FEND, tlv(fileno=fileno, size=len(data or b""), crc=crc, status=status)))
+    return out, crc
 
 
 def write(files: Iterable[tuple[dict, bytes | None]], layout: Layout | None = None, **summary) -> list[bytes]:
-    """Volumes of a saveset of (attributes, content) pairs; attributes hold path, ftype, mode, uid, gid, mtime at least."""
+    """Volumes of a saveset of (attributes, content) pairs; attributes hold path, ftype, mode, uid, gid, mtime at least.
+
+    A ``status`` of PRESENT makes a catalog entry only, which has a number but no records; other states go into the file's end record.
+    """
     layout = layout or Layout()
-    head = tlv(product=b"sediment", blocksize=layout.block, groupsize=layout.group, volsize=layout.volume, parity=layout.parity if layout.parity > 1 else None, kind=0, compress=layout.codec or None, **layout.key_tags, **summary)
+    summary = {"kind": FULL, **summary}
+    head = tlv(product=b"sediment", blocksize=layout.block, groupsize=layout.group, volsize=layout.volume, parity=layout.parity if layout.parity > 1 else None, compress=layout.codec or None, **layout.key_tags, **summary)
     clear = tlv(product=b"sediment", blocksize=layout.block, groupsize=layout.group, volsize=layout.volume, parity=layout.parity if layout.parity > 1 else None, **layout.key_tags) if layout.keys else head
     out = Writer(layout, clear)
     out.record(SUMMARY, head)
-    entries, group, nbytes = [], [], 0
+    entries, group, nbytes, nsaved = [], [], 0, 0
 
-    def entry(attributes: dict, number: int, size: int, crc: int, place, solid: int | None) -> None:
+    def entry(attributes: dict, number: int, size: int, crc: int | None, place, solid: int | None) -> None:
         kept = {k: v for k, v in attributes.items() if k not in ("xattr", "atime", "btime")}
-        entries.append(tlv(fileno=number, size=size, crc=crc, status=0, locvol=place[0], locblk=place[1], locoff=place[2], solid=solid, **kept))
+        where = dict(zip(("locvol", "locblk", "locoff"), place or (), strict=False))
+        entries.append(tlv(fileno=number, size=size, crc=crc, solid=solid, **where, **{"status": OK, **kept}))
 
     def flush() -> None:
         if not group:
@@ -287,9 +326,13 @@ def write(files: Iterable[tuple[dict, bytes | None]], layout: Layout | None = No
 
     used = 0
     for number, (attributes, data) in enumerate(files, 1):
-        member = layout.solid and layout.codec and attributes["ftype"] == 1 and len(data or b"") <= MAX_SOLID
-        records = file_records(number, attributes, data, 0 if member else layout.codec)
-        crc, size = zlib.crc32(data or b""), len(data or b"")
+        if attributes.get("status") == PRESENT:
+            entry({k: v for k, v in attributes.items() if k != "size"}, number, attributes.get("size", 0), None, None, None)
+            continue
+        nsaved += 1
+        member = layout.solid and layout.codec and attributes["ftype"] == REGULAR and len(data or b"") <= MAX_SOLID
+        records, crc = file_records(number, attributes, data, 0 if member else layout.codec)
+        size = len(data or b"")
         nbytes += size
         if member:
             length = sum(8 + len(b) for _, b in records)
@@ -312,7 +355,7 @@ def write(files: Iterable[tuple[dict, bytes | None]], layout: Layout | None = No
             batch = []
         if item is not None:
             batch.append(struct.pack("<I", len(item)) + item)
-    totals = {"nfiles": len(entries), "nbytes": nbytes, "nerrors": 0}
+    totals = {"nfiles": nsaved, "nbytes": nbytes, "nerrors": 0}
     out.record(END, tlv(**totals))
     where = dict(zip(("catvol", "catblk", "catoff"), first, strict=True)) if first else {}
     return out.finish(nentries=len(entries), **totals, **where)
@@ -322,7 +365,7 @@ def summary_of(volume: bytes) -> tuple[int, dict] | None:
     """(block size, summary) from a volume's header block, or null if this is no volume."""
     if len(volume) < 64 or volume[:4] != MAGIC:
         return None
-    size = struct.unpack_from("<I", volume, 8)[0]
+    size = struct.unpack("<I", volume[8:12])[0]
     head = opened(volume[:size], size)
     if head is None or head.type != VHDR:
         return None
@@ -332,7 +375,7 @@ def summary_of(volume: bytes) -> tuple[int, dict] | None:
 def guessed_size(volume: bytes) -> int | None:
     """Block size when the first block is lost: the least size at which another header stands."""
     for size in range(8192, (1 << 20) + 1, 512):
-        if volume[size : size + 4] == MAGIC and struct.unpack_from("<I", volume, size + 8)[0] == size:
+        if volume[size : size + 4] == MAGIC and volume[size + 8 : size + 12] == struct.pack("<I", size):
             return size
     return None
 
@@ -344,28 +387,54 @@ def unlocked(block: Block | None, size: int, keys: crypto.Keys | None) -> bytes
     return keys.crypt(block.blkno, secret) if crypto.hmac.compare_digest(tag, right) else None
 
 
-def groups_of(volumes: list[bytes], events: list[tuple], passphrase: bytes | None = None, label: str = "SEDIMENT") -> Iterator[Block | int]:
-    """Data blocks in order, repaired where the parity allows, decrypted last; the number of blocks for a loss."""
-    keys = None
+def shape_of(volumes: list, passphrase: bytes | None, label: str) -> tuple[int, int, int, crypto.Keys | None]:
+    """(block size, data blocks of a group, parity blocks, keys) of a saveset."""
     known = next((s for s in map(summary_of, volumes) if s), None)
     if known is None:
         size = next((s for s in map(guessed_size, volumes) if s), None)
         if size is None:
             raise ValueError("no volume of a saveset")
-        blocks = [opened(v[a : a + size], size) for v in volumes for a in range(0, len(v), size)]
-        group = next((b.gindex & 255 for b in blocks if b and b.type == XOR), 0)
-        parity = max([1, *((b.gindex >> 8) + 1 for b in blocks if b and b.type == PARITY)])
-    else:
-        size, summary = known
-        group, parity = summary.get("groupsize", 10), summary.get("parity", 1)
-        if "cipher" in summary:
-            if passphrase is None or summary["cipher"] != crypto.CHACHA20 or summary["kdf"] != crypto.PBKDF2:
-                raise ValueError("the saveset is encrypted")
-            keys = crypto.Keys.derive(passphrase, summary["salt"], summary["kdfiter"], label)
-            if keys.check != summary["keycheck"]:
-                raise ValueError("wrong passphrase")
+        group, parity = 0, 1
+        for v in volumes:
+            for a in range(0, len(v), size):
+                b = opened(v[a : a + size], size)
+                if b and b.type == XOR:
+                    group = group or b.gindex & 255
+                elif b and b.type == PARITY:
+                    parity = max(parity, (b.gindex >> 8) + 1)
+        return size, group, parity, None
+    size, summary = known
+    if "cipher" not in summary:
+        return size, summary.get("groupsize", 10), summary.get("parity", 1), None
+    if passphrase is None or summary["cipher"] != crypto.CHACHA20 or summary["kdf"] != crypto.PBKDF2:
+        raise ValueError("the saveset is encrypted")
+    keys = crypto.Keys.derive(passphrase, summary["salt"], summary["kdfiter"], label)
+    if keys.check != summary["keycheck"]:
+        raise ValueError("wrong passphrase")
+    return size, summary.get("groupsize", 10), summary.get("parity", 1), keys
+
+
+def trailer_of(volumes: list, passphrase: bytes | None = None, label: str = "SEDIMENT") -> dict | None:
+    """Items of the trailer, from the last block of the last volume alone; null if it is lost."""
+    size, _, _, keys = shape_of(volumes, passphrase, label)
+    last = volumes[-1]
+    block = opened(last[len(last) - size :], size)
+    if block is None or block.type not in (TRAILER, ETRAILER):
+        return None
+    plain = unlocked(block, size, keys) if block.type == ETRAILER else block.payload
+    return None if plain is None else tlv_items(plain)
+
+
+def groups_of(volumes: list, events: list[tuple], passphrase: bytes | None = None, label: str = "SEDIMENT", start: tuple[int, int] | None = None) -> Iterator[Block | int]:
+    """Data blocks in order, repaired where the parity allows, decrypted last; the number of blocks for a loss.
+
+    Volumes are bytes or :class:`Volume`; one group is in memory at a time. ``start`` (volume, number of a block): only
+    the group of that block and what follows is read.
+    """
+    size, group, parity, keys = shape_of(volumes, passphrase, label)
     wide = size - 64
     kind = EDATA if keys else DATA
+    span = group + parity if group else 1
 
     def good(block: Block | None) -> Block | None:
         """Null for a block of another saveset's kind or with a wrong tag."""
@@ -378,22 +447,33 @@ def groups_of(volumes: list[bytes], events: list[tuple], passphrase: bytes | Non
             block.payload = unlocked(block, size, keys)
         return block
 
+    def blocks_at(volume, first: int, n: int) -> list[Block | None]:
+        data = volume[(1 + first) * size : (1 + first + n) * size]
+        return [good(opened(data[i * size : (i + 1) * size], size)) for i in range(n)]
+
     for number, volume in enumerate(volumes, 1):
-        row = [good(opened(volume[a : a + size], size)) for a in range(size, len(volume), size)]
-        if row and row[-1] is not None and row[-1].type in (TRAILER, ETRAILER):
-            row.pop()
-        elif row and row[-1] is None and number == len(volumes):
-            row.pop()
-        if not group:
-            yield from (plain(b) if b is not None else 1 for b in row if b is None or b.type == kind)
+        if start and number < start[0]:
             continue
-        for at in range(0, len(row), group + parity):
-            span = row[at : at + group + parity]
-            n = len(span) - parity
-            tail = next((b for b in span if b is not None and b.type in (XOR, PARITY)), None)
+        n_blocks = max(0, -(-len(volume) // size) - 1)
+        if n_blocks:
+            (end,) = blocks_at(volume, n_blocks - 1, 1)
+            if end is None and number == len(volumes) or end is not None and end.type in (TRAILER, ETRAILER):
+                n_blocks -= 1
+        begin = 0
+        if start and number == start[0]:
+            head = opened(volume[:size], size)
+            if head is not None:  # blocks are numbered on from the volume's header
+                begin = max(0, start[1] - head.blkno - 1) // span * span
+        for at in range(begin, n_blocks, span):
+            blocks = blocks_at(volume, at, min(span, n_blocks - at))
+            if not group:
+                yield from (plain(b) if b is not None else 1 for b in blocks if b is None or b.type == kind)
+                continue
+            n = len(blocks) - parity
+            tail = next((b for b in blocks if b is not None and b.type in (XOR, PARITY)), None)
             if tail is not None:
                 n = min(n, tail.gindex & 255)
-            data, rows = span[:n], {b.gindex >> 8: b for b in span[n:] if b is not None and b.type in (XOR, PARITY)}
+            data, rows = blocks[:n], {b.gindex >> 8: b for b in blocks[n:] if b is not None and b.type in (XOR, PARITY)}
             lost = [i for i, b in enumerate(data) if b is None or b.type != kind]
             if lost and len(lost) <= len(rows):
                 fixed = repaired(data, lost, rows, wide, parity, kind)
@@ -443,16 +523,26 @@ def repaired(data: list, lost: list[int], rows: dict[int, Block], wide: int, par
     return out
 
 
-def records_of(volumes: list[bytes], events: list[tuple], passphrase: bytes | None = None, label: str = "SEDIMENT") -> Iterator[tuple]:
-    """(type, body, volume, block, offset, resync, in solid) of every record that is whole."""
+def records_of(volumes: list, events: list[tuple], passphrase: bytes | None = None, label: str = "SEDIMENT", start: tuple[int, int, int] | None = None) -> Iterator[tuple]:
+    """(type, body, volume, block, offset, resync, in solid) of every record that is whole.
+
+    ``start`` (volume, block, offset): from the record there on; nothing if its block is lost.
+    """
+    sought = start
     parts: list[bytes] = []
-    have, need, start, resync, skipping = 0, 0, None, False, False
+    have, need, place, resync, skipping = 0, 0, None, False, False
     head = b""
-    for block in groups_of(volumes, events, passphrase, label):
+    for block in groups_of(volumes, events, passphrase, label, start[:2] if start else None):
+        if sought and (isinstance(block, int) or block.blkno < sought[1]):
+            continue
         if isinstance(block, int):
             parts, have, need, head, skipping = [], 0, 0, b"", True
             continue
         at = 0
+        if sought:
+            if block.blkno > sought[1]:
+                return
+            at, sought = sought[2], None
         if skipping:
             if block.recoff == NONE:
                 continue
@@ -462,7 +552,7 @@ def records_of(volumes: list[bytes], events: list[tuple], passphrase: bytes | No
                 if len(block.payload) - at < 8:
                     break
                 head = block.payload[at : at + 8]
-                start = (block.volno, block.blkno, at)
+                place = (block.volno, block.blkno, at)
                 need = struct.unpack("<HHI", head)[2]
                 kind = struct.unpack("<H", head[:2])[0]
                 if not kind or need > MAX_RECORD:
@@ -479,9 +569,9 @@ def records_of(volumes: list[bytes], events: list[tuple], passphrase: bytes | No
                 kind, body = struct.unpack("<H", head[:2])[0], b"".join(parts)
                 need = 0
                 if kind == SOLID and block.version == 3:
-                    yield from members(body, start, resync, events)
+                    yield from members(body, place, resync, events)
                 else:
-                    yield kind, body, *start, resync, False
+                    yield kind, body, *place, resync, False
                 resync = False
 
 
@@ -517,10 +607,10 @@ def data_of(kind: int, body: bytes) -> tuple[int, int, bytes]:
     return fileno, at, codecs.decode(body[20:], codec, size)
 
 
-def files_of(volumes: list[bytes], events: list[tuple], passphrase: bytes | None = None, label: str = "SEDIMENT") -> Iterator[dict]:
-    """Whole files: attributes, content, and whether size and CRC are right."""
+def files_of(volumes: list, events: list[tuple], passphrase: bytes | None = None, label: str = "SEDIMENT", start: tuple[int, int, int] | None = None) -> Iterator[dict]:
+    """Whole files: attributes, content, and whether size and CRC are right; from the record at ``start`` on."""
     now: dict | None = None
-    for kind, body, *_, resync, _ in records_of(volumes, events, passphrase, label):
+    for kind, body, *_, resync, _ in records_of(volumes, events, passphrase, label, start):
         if kind == FILE:
             now = {**tlv_items(body), "parts": []}
         elif now and kind in (DATA_RECORD, DATAZ):
@@ -541,10 +631,32 @@ def files_of(volumes: list[bytes], events: list[tuple], passphrase: bytes | None
             now = None
 
 
-def catalog_of(volumes: list[bytes], events: list[tuple], passphrase: bytes | None = None, label: str = "SEDIMENT") -> Iterator[dict]:
-    for kind, body, *_ in records_of(volumes, events, passphrase, label):
+def catalog_of(volumes: list, events: list[tuple], passphrase: bytes | None = None, label: str = "SEDIMENT", seek: bool = True) -> Iterator[dict]:
+    """Catalog entries; with ``seek`` from the place the trailer tells, else (or without a trailer) out of the whole stream."""
+    trailer = trailer_of(volumes, passphrase, label) if seek else None
+    place = tuple(trailer[k] for k in ("catvol", "catblk", "catoff")) if trailer and "catvol" in trailer else None
+    found = 0
+    for kind, body, *_ in records_of(volumes, events, passphrase, label, place):
+        if place and kind == END:
+            break
         at = 0
         while kind == CATALOG and at + 4 <= len(body):
             (n,) = struct.unpack_from("<I", body, at)
+            found += 1
             yield tlv_items(body[at + 4 : at + 4 + n])
             at += 4 + n
+    if place and not found:
+        yield from catalog_of(volumes, events, passphrase, label, seek=False)
+
+
+def file_named(volumes: list, path: bytes, events: list[tuple], passphrase: bytes | None = None, label: str = "SEDIMENT") -> Iterator[dict]:
+    """Files saved under a name: read from where the catalog says they begin, not from the start of the saveset."""
+    for entry in catalog_of(volumes, events, passphrase, label):
+        if entry["path"] != path or entry.get("status") == PRESENT or "locblk" not in entry:
+            continue
+        place = (entry["locvol"], entry["locblk"], entry["locoff"])
+        for file in files_of(volumes, events, passphrase, label, place):
+            if file["fileno"] == entry["fileno"]:
+                yield file
+            if file["fileno"] >= entry["fileno"]:
+                break

@@ -1,15 +1,20 @@
 """Data source ``saveset``: a folder of savesets as tables.
 
 Options: ``path`` (a folder or one first volume, any URI), ``table`` (files, records, blocks,
-catalog or events), ``passphrase`` and ``keyLabel`` for encrypted savesets. One saveset is one partition, planned on the driver from the folder's
-names; blocks of one volume are one partition. An exact filter on ``saveset`` prunes partitions.
+catalog, summary or events), ``passphrase`` and ``keyLabel`` for encrypted savesets. One saveset is one partition, planned on the driver from the folder's
+names; blocks of one volume are one partition. A task reads by place and holds one group of blocks. An exact filter on ``saveset`` prunes partitions;
+an exact filter on ``path`` of files goes by the trailer and the catalog to the records of that name and reads nothing else.
+Catalogs and summaries are read from where the trailer says they are. A volume that is missing or cut short is an
+event, never an error.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from sediment.sources import blocks
@@ -18,7 +23,8 @@ SCHEMAS = {
     "files": "saveset string, fileno long, path string, ftype int, mode int, uid long, gid long, size long, mtime_sec long, mtime_nsec int, link string, crc long, status int, intact boolean, content binary",
     "records": "saveset string, seq long, vol int, blk long, off int, type int, len long, resync boolean, insolid boolean, body binary",
     "blocks": "saveset string, vol int, pos long, version int, type int, flags int, gindex int, blkno long, recoff long, paylen long, prvrecoff long, prvpaylen long, ok boolean, payload binary",
-    "catalog": "saveset string, fileno long, path string, ftype int, size long, crc long, status int, locvol int, locblk long, locoff int, solid int",
+    "catalog": "saveset string, seq long, fileno long, path string, ftype int, mode int, uid long, gid long, size long, mtime_sec long, mtime_nsec int, ctime_sec long, ctime_nsec int, dev long, ino long, baseidx int, link string, crc long, status int, locvol int, locblk long, locoff int, solid int",
+    "summary": "saveset string, ssuuid binary, product string, kind int, created_sec long, created_nsec int, bases array<string>, block int, group int, parity int, whole boolean, nfiles long, nbytes long, nerrors long, nblocks long, nvols int, nentries long",
     "events": "saveset string, kind string, vol int, blk long",
 }
 MOST_MISSING = 16
@@ -40,10 +46,34 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def read_all(path: str) -> bytes:
+def opened(path: str) -> blocks.Volume:
+    """A volume that is read by place."""
     store, where = open_store(path)
-    with store.open_input_stream(where, compression=None) as handle:
-        return handle.read()
+    handle = store.open_input_file(where)
+    return blocks.Volume(lambda at, n: handle.read_at(n, at), handle.size())
+
+
+def volumes_below(path: str) -> list[tuple[str, list[str]]]:
+    """(name, volumes in order) of each saveset of a folder, or of one first volume; listed on the driver."""
+    from pyarrow import fs
+
+    store, where = open_store(path)
+    prefix = path[: len(path) - len(where)]
+    info = store.get_file_info(where)
+    folder = info.type == fs.FileType.Directory
+    found = store.get_file_info(fs.FileSelector(where if folder else where.rpartition("/")[0]))
+    names = {i.path for i in found if i.type == fs.FileType.File}
+    out = []
+    for first in sorted(n for n in names if n.endswith(".bck")) if folder else [where]:
+        numbers = sorted(int(m[1]) for n in names if (m := re.fullmatch(re.escape(first) + r"\.(\d{3,})", n)))
+        volumes, last = [prefix + first], 1
+        for k in numbers:
+            if k - last > MOST_MISSING:
+                break
+            volumes.append(f"{prefix}{first}.{k:03d}")
+            last = k
+        out.append((first.rpartition("/")[2], volumes))
+    return out
 
 
 class Reader(DataSourceReader):
@@ -52,42 +82,28 @@ class Reader(DataSourceReader):
         secret = options.get("passphrase")
         self.key = {"passphrase": secret.encode() if secret else None, "label": options.get("keyLabel", "SEDIMENT")}
         self.only: set[str] | None = None
+        self.named: str | None = None
 
     def pushFilters(self, filters):
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("saveset",):
                 self.only = {f.value}
             else:
+                if isinstance(f, EqualTo) and f.attribute == ("path",) and self.table == "files":
+                    self.named = f.value
                 yield f
 
     def partitions(self):
-        from pyarrow import fs
-
-        store, where = open_store(self.path)
-        prefix = self.path[: len(self.path) - len(where)]
-        info = store.get_file_info(where)
-        found = store.get_file_info(fs.FileSelector(where)) if info.type == fs.FileType.Directory else store.get_file_info(fs.FileSelector(where.rpartition("/")[0]))
-        names = {i.path for i in found if i.type == fs.FileType.File}
-        firsts = sorted(n for n in names if n.endswith(".bck")) if info.type == fs.FileType.Directory else [where]
         out = []
-        for first in firsts:
-            name = first.rpartition("/")[2]
-            if self.only is not None and name not in self.only:
-                continue
-            numbers = sorted(int(m[1]) for n in names if (m := re.fullmatch(re.escape(first) + r"\.(\d{3,})", n)))
-            volumes, last = [prefix + first], 1
-            for k in numbers:
-                if k - last > MOST_MISSING:
-                    break
-                volumes.append(f"{prefix}{first}.{k:03d}")
-                last = k
-            out += [Saveset(name, [v]) for v in volumes] if self.table == "blocks" else [Saveset(name, volumes)]
+        for name, volumes in volumes_below(self.path):
+            if self.only is None or name in self.only:
+                out += [Saveset(name, [v]) for v in volumes] if self.table == "blocks" else [Saveset(name, volumes)]
         return out or [Saveset("", [])]
 
     def read(self, partition):
         if not partition.volumes:
             return
-        volumes, events = [read_all(v) for v in partition.volumes], []
+        volumes, events = [opened(v) for v in partition.volumes], []
         name = partition.name
         if self.table == "blocks":
             yield from self.blocks(name, volumes[0])
@@ -95,19 +111,39 @@ class Reader(DataSourceReader):
             for seq, (kind, body, vol, blk, off, resync, insolid) in enumerate(blocks.records_of(volumes, events, **self.key)):
                 yield name, seq, vol, blk, off, kind, len(body), resync, insolid, body
         elif self.table == "files":
-            for f in blocks.files_of(volumes, events, **self.key):
+            found = blocks.files_of(volumes, events, **self.key) if self.named is None else blocks.file_named(volumes, self.named.encode(), events, **self.key)
+            for f in found:
                 sec, nsec = f.get("mtime", (None, None))
                 yield name, f["fileno"], text(f["path"]), f["ftype"], f.get("mode"), f.get("uid"), f.get("gid"), len(f["content"]), sec, nsec, text(f.get("link")), f["crc"], f["status"], f["intact"], f["content"]
         elif self.table == "catalog":
-            for e in blocks.catalog_of(volumes, events, **self.key):
-                yield name, e["fileno"], text(e["path"]), e["ftype"], e.get("size"), e.get("crc"), e.get("status"), e.get("locvol"), e.get("locblk"), e.get("locoff"), e.get("solid")
+            for seq, e in enumerate(blocks.catalog_of(volumes, events, **self.key)):
+                times = (*e.get("mtime", (None, None)), *e.get("ctime", (None, None)))
+                inode = struct.unpack("<qq", e["devino"]) if len(e.get("devino", b"")) == 16 else (None, None)
+                owner = (e.get("mode"), e.get("uid"), e.get("gid"), e.get("size"))
+                yield name, seq, e["fileno"], text(e["path"]), e["ftype"], *owner, *times, *inode, e.get("baseidx", 0), text(e.get("link")), e.get("crc"), e.get("status"), e.get("locvol"), e.get("locblk"), e.get("locoff"), e.get("solid")
+        elif self.table == "summary":
+            yield self.summary(name, volumes)
         else:
+            seen = [int(m[1]) if (m := re.search(r"\.bck\.(\d+)$", v)) else 1 for v in partition.volumes]
+            events += [("MISSING", k, 0) for k in range(1, seen[-1]) if k not in seen]
+            if blocks.trailer_of(volumes, **self.key) is None:
+                events.append(("TRUNCATED", seen[-1], 0))
             for _ in blocks.records_of(volumes, events, **self.key):
                 pass
             for event in events:
                 yield (name, *event)
 
-    def blocks(self, name: str, volume: bytes):
+    def summary(self, name: str, volumes: list) -> tuple:
+        """What the SUMMARY record and the trailer say; ``whole``: there is a trailer."""
+        end = blocks.trailer_of(volumes, **self.key) or {}
+        first = next((body for kind, body, *_ in blocks.records_of(volumes, [], **self.key) if kind == blocks.SUMMARY), None)
+        head = blocks.tlv_items(first) if first is not None else {}
+        of_set = next((b.ssuuid for v in volumes if (s := blocks.summary_of(v)) and (b := blocks.opened(v[: s[0]], s[0]))), None)
+        bases = [text(b) for b in head.get("base", [])]
+        told = (head.get("blocksize"), head.get("groupsize"), head.get("parity", 1), bool(end))
+        return name, of_set, text(head.get("product")), head.get("kind"), *head.get("created", (None, None)), bases, *told, *(end.get(k) for k in ("nfiles", "nbytes", "nerrors", "nblocks", "nvols", "nentries"))
+
+    def blocks(self, name: str, volume):
         known = blocks.summary_of(volume)
         size = known[0] if known else blocks.guessed_size(volume)
         for pos in range(len(volume) // size if size else 0):
@@ -141,13 +177,33 @@ def read(spark: SparkSession, path: str, table: str = "files", **options: str) -
 
 
 WRITTEN = "saveset string, volumes int, files long, bytes long"
-
-
-def write(files: DataFrame, folder: str, by: str, layout: blocks.Layout) -> DataFrame:
+#: Columns that :func:`write` takes besides path and content, and what stands for them where they are missing or null.
+OPTIONAL = {"ftype": blocks.REGULAR, "mode": 0o644, "uid": 0, "gid": 0, "mtime_sec": 0, "mtime_nsec": 0, "ctime_sec": None, "ctime_nsec": 0, "dev": None, "ino": None, "baseidx": None, "link": None, "status": blocks.OK, "size": 0}
+
+
+def attributes_of(row: dict) -> dict:
+    """Attributes of an entry as its records hold them."""
+    row = {c: default if row.get(c) is None else row[c] for c, default in OPTIONAL.items()} | {"path": row["path"]}
+    out = {"path": row["path"].encode(), **{c: row[c] for c in ("ftype", "mode", "uid", "gid", "baseidx")}, "mtime": (row["mtime_sec"], row["mtime_nsec"])}
+    if row["ctime_sec"] is not None:
+        out["ctime"] = (row["ctime_sec"], row["ctime_nsec"])
+    if row["dev"] is not None and row["ino"] is not None:
+        out["devino"] = struct.pack("<qq", row["dev"], row["ino"])
+    if row["link"] is not None:
+        out["link"] = row["link"].encode()
+    if row["status"] != blocks.OK:
+        out["status"] = row["status"]
+    if row["status"] == blocks.PRESENT:
+        out["size"] = row["size"]
+    return out
+
+
+def write(files: DataFrame, folder: str, by: str, layout: blocks.Layout, **summary) -> DataFrame:
     """One saveset below ``folder`` for each value of ``by``; returns what was written.
 
-    ``files`` has path and content (binary); entries are regular files in walk order of their
-    paths. Saves are independent, so the number of them sets the parallelism; a save holds one
+    ``files`` has path and content (binary) and may have the columns of OPTIONAL; a status of PRESENT
+    makes a catalog entry without content. Entries are written in walk order of their paths. ``summary``: items
+    of the SUMMARY record such as created, base and kind. Saves are independent, so the number of them sets the parallelism; a save holds one
     saveset in memory, so ``by`` should cut the input into savesets of bounded size.
     """
     import dataclasses
@@ -157,16 +213,86 @@ def write(files: DataFrame, folder: str, by: str, layout: blocks.Layout) -> Data
 
     store, where = open_store(folder)
     store.create_dir(where, recursive=True)
+    more = [c for c in OPTIONAL if c in files.columns]
 
     def save(key, table):
         name = f"set-{key[0].as_py()}.bck"
-        rows = sorted(zip(table["path"].to_pylist(), table["content"].to_pylist(), strict=True), key=lambda r: r[0].split("/"))
-        own = dataclasses.replace(layout, ssuuid=hashlib.md5(name.encode()).digest())
-        volumes = blocks.write((({"path": p.encode(), "ftype": 1, "mode": 0o644, "uid": 0, "gid": 0, "mtime": (0, 0)}, c) for p, c in rows), own)
+        rows = sorted(table.to_pylist(), key=lambda r: r["path"].split("/"))
+        own = dataclasses.replace(layout, ssuuid=hashlib.md5(f"{folder}/{name}".encode()).digest())
+        volumes = blocks.write(((attributes_of(r), r["content"]) for r in rows), own, **summary)
         target, at = open_store(folder)
         for k, volume in enumerate(volumes, 1):
             with target.open_output_stream(f"{at}/{name}" + (f".{k:03d}" if k > 1 else ""), compression=None) as out:
                 out.write(volume)
-        return pa.table({"saveset": [name], "volumes": pa.array([len(volumes)], pa.int32()), "files": [len(rows)], "bytes": [sum(len(c or b"") for _, c in rows)]})
+        saved = [r for r in rows if r.get("status") != blocks.PRESENT]
+        return pa.table({"saveset": [name], "volumes": pa.array([len(volumes)], pa.int32()), "files": [len(saved)], "bytes": [sum(len(r["content"] or b"") for r in saved)]})
+
+    return files.select(by, "path", "content", *more).groupBy(by).applyInArrow(save, WRITTEN)
+
 
-    return files.groupBy(by).applyInArrow(save, WRITTEN)
+COPIED = "saveset string, volume string, blocks long, bad long"
+
+
+def transfer(spark: SparkSession, source: str, target: str, change=None) -> DataFrame:
+    """Every volume below ``source`` copied block for block; (saveset, volume, blocks, bad) of each.
+
+    A block that is not valid is copied as it is and counted. A volume is one task's work and one block
+    is in memory; it is written under a name of the task's own and renamed when it is whole, so a task that is run again
+    does no harm. ``change(place, blocks of the volume, block)`` may replace a block's bytes (for tests of damage).
+    """
+    import uuid
+
+    import pyarrow as pa
+
+    store, where = open_store(target)
+    store.create_dir(where, recursive=True)
+    todo = [(name, v) for name, volumes in volumes_below(source) for v in volumes]
+
+    def copy(batches):
+        for batch in batches:
+            out = []
+            for name, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                volume = opened(path)
+                known = blocks.summary_of(volume)
+                size = known[0] if known else blocks.guessed_size(volume) or len(volume)
+                files, folder = open_store(target)
+                own, bad, count = f"{folder}/.{uuid.uuid4().hex}", 0, 0
+                with files.open_output_stream(own, compression=None) as to:
+                    for at in range(0, len(volume), size):
+                        block = volume[at : at + size]
+                        block = change(at // size, -(-len(volume) // size), block) if change else block
+                        bad += blocks.opened(block, size) is None
+                        count += 1
+                        to.write(block)
+                files.move(own, f"{folder}/{path.rpartition('/')[2]}")
+                out.append((name, path.rpartition("/")[2], count, bad))
+            names, volumes, counts, bads = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(volumes, pa.string()), pa.array(counts, pa.int64()), pa.array(bads, pa.int64())], names=["saveset", "volume", "blocks", "bad"])
+
+    listed = spark.createDataFrame(todo, "saveset string, path string").repartition(max(1, len(todo)), "path") if todo else spark.createDataFrame([], "saveset string, path string")
+    return listed.mapInArrow(copy, COPIED)
+
+
+def restore_chain(spark: SparkSession, folders: list[str], **options: str) -> DataFrame:
+    """The files after restoring savesets, oldest folder first: path, link number and all columns of files.
+
+    The last link that saved a path wins. An INCREMENTAL link removes what its catalog lacks from
+    directories that it has, and all below what it removes; top-level entries stay.
+    """
+    from functools import reduce
+
+    links = [(i, read(spark, f, "files", **options), read(spark, f, "catalog", **options), read(spark, f, "summary", **options)) for i, f in enumerate(folders)]
+    number = lambda i: F.lit(i).alias("chain")
+    files = reduce(DataFrame.unionByName, (f.select(number(i), "*") for i, f, _, _ in links))
+    names = reduce(DataFrame.unionByName, (c.select(number(i), "path", "ftype") for i, _, c, _ in links))
+    pruning = reduce(DataFrame.unionByName, (s.select(number(i), "kind") for i, _, _, s in links)).groupBy("chain").agg(F.min("kind").alias("kind")).filter(F.col("kind") == blocks.INCREMENTAL)
+    saved = files.groupBy("path").agg(F.max("chain").alias("chain"))
+    # every entry above a path, and the path itself, in each later pruning link (a few rows: one for each link)
+    depth = F.size(F.split("path", "/"))
+    above = F.explode(F.transform(F.sequence(F.lit(1), depth), lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/")))
+    later = saved.join(F.broadcast(pruning.select(F.col("chain").alias("later"))), F.col("later") > F.col("chain"))
+    steps = later.select("path", "chain", "later", above.alias("entry")).withColumn("parent", F.regexp_replace("entry", "/[^/]*$", "")).filter("entry <> parent")
+    dirs = names.filter(F.col("ftype") == blocks.DIRECTORY).select(F.col("chain").alias("later"), F.col("path").alias("parent")).distinct()
+    there = names.select(F.col("chain").alias("later"), F.col("path").alias("entry")).distinct()
+    gone = steps.join(dirs, ["later", "parent"], "left_semi").join(there, ["later", "entry"], "left_anti").select("path").distinct()
+    return files.join(saved, ["path", "chain"], "left_semi").join(gone, "path", "left_anti")

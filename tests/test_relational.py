@@ -122,3 +122,64 @@ def test_numbered_queries_keep_every_row_of_wide_tables(spark, shuffle, advisory
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_results_are_not_empty(spark):
+    for name in ("list_select", "missing_present", "extract_by_name", "journal_rebuild"):
+        assert QUERIES[name](spark, SF).limit(1).count() == 1, name
+
+
+def test_crc_of_pieces(spark):
+    import zlib
+
+    texts = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert dict(QUERIES["file_crc"](spark, SF).collect()) == {i: zlib.crc32(t) for i, t in texts.items()}
+
+
+def test_loss_is_told_file_by_file(spark):
+    """Every file of a group with more lost blocks than parity is damaged or lost, and no other."""
+    from sediment.plans import archives
+    from sediment.sources import blocks
+
+    layout = blocks.Layout(block=8192, group=5, parity=1)
+    where = archives.saved(spark, SF, layout)
+    broken = archives.damaged(spark, where, layout, 2)
+    bad = {(r.saveset, r.blkno) for r in saveset.read(spark, where, "blocks").collect() if r.pos and (r.pos - 1) % 6 in (0, 2)}
+    spans, size = {}, layout.wide
+    for r in saveset.read(spark, where, "records").orderBy("saveset", "seq").collect():
+        order = [b for b in range(r.blk, r.blk + 400) if (b - 1) % 6 != 5]  # data blocks: five of every six after the header
+        touched = order[: 1 + (r.off + 8 + r.len - 1) // size]
+        if r.type == blocks.FILE:
+            now = spans.setdefault((r.saveset, blocks.tlv_items(r.body)["path"].decode()), set())
+        if r.type in (blocks.FILE, blocks.DATA_RECORD, blocks.FEND):
+            now.update(touched)
+    full = {s: (n - 2) // 6 * 6 for s, n in saveset.read(spark, where, "blocks").groupBy("saveset").count().collect()}
+    whole = {k for k, b in spans.items() if not any((k[0], x) in bad and x <= full[k[0]] for x in b)}
+    got = saveset.read(spark, broken).filter("intact").select("saveset", "path").collect()
+    assert {(r.saveset, r.path) for r in got} == whole and len(whole) > 0
+
+
+def test_content_differences(spark):
+    saved = spark.createDataFrame([("a", 1, None, b"x" * 70_000 + b"y"), ("b", 1, None, b""), ("c", 3, "t", None), ("d", 3, "t", None), ("e", 1, None, b"abc"), ("f", 1, None, b"abc"), ("g", 1, None, bytes(1 << 20) + b"tail"), ("h", 1, None, bytes(1 << 20) + b"tail")], "path string, ftype int, link string, content binary")
+    found = spark.createDataFrame([("a", 1, None, b"x" * 70_000 + b"z"), ("b", 1, None, b""), ("c", 3, "t", None), ("d", 3, "u", None), ("f", 1, None, b"ab"), ("g", 1, None, b"\1" + bytes(1 << 20)), ("h", 1, None, bytes(1 << 20) + b"tail and more"), ("z", 1, None, b"")], "path string, ftype int, link string, content binary")
+    got = dict(snapshots.compare_entries(saved, found).collect())
+    assert got == {"a": "octet 70000", "b": "same", "c": "same", "d": "link", "e": "missing", "f": "shorter", "g": "octet 0", "h": "size"}
+
+
+def test_streaming_journal_goes_on_after_a_restart(spark, tmp_path):
+    from sediment.streaming import journal
+
+    def put(name, rows):
+        spark.createDataFrame(rows, "user_id long, ts long, event_id long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+
+    put("in", [(1, 1, 1), (2, 1, 2), (3, 9, 3)])
+    folder = f"file://{tmp_path}/journal"
+    first = journal.run_to_end(spark, f"{tmp_path}/in", folder=folder, buckets=4)
+    assert sorted(tuple(r) for r in first.collect()) == [(1, 1, 1), (2, 1, 2), (3, 9, 3)]
+    put("in", [(1, 5, 4), (3, 2, 5), (4, 1, 6)])
+    second = journal.run_to_end(spark, f"{tmp_path}/in", folder=folder, buckets=4)  # knows nothing but the folder
+    want = [(1, 5, 4), (2, 1, 2), (3, 9, 3), (4, 1, 6)]
+    assert sorted(tuple(r) for r in second.collect()) == want
+    schema = second.schema
+    (tmp_path / "journal/batch-1/_SUCCESS").unlink()  # a batch that did not end doesn't count
+    assert sorted(tuple(r) for r in journal.state(spark, folder, schema).collect()) == [(1, 1, 1), (2, 1, 2), (3, 9, 3)]
