@@ -363,6 +363,33 @@ def test_wrapped_licenses_are_found(spark):
     assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
 
 
+def test_long_licenses_by_digest(spark):
+    import pathlib
+
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0-Perl"}
+    folder = pathlib.Path("/usr/share/common-licenses")
+    if not all((folder / n).is_file() for n in names):
+        pytest.skip("texts are not there")
+    texts = {n: (folder / n).read_text() for n in names}
+    rows = [(i, v, n) for n, t in texts.items() for i, v in ((names[n], t), (names[n], "# " + "\n# ".join(t.split("\n"))), (names[n], " ".join(t.upper().split()) if "opyright" not in t else t.replace("\n", "\r\n")), (None, t + "\nAnd one more clause."))]
+    got = licenses.scan(spark.createDataFrame([(k, v) for k, (_, v, _) in enumerate(rows)], "doc_id long, text string")).select("doc_id", "licenses").collect()
+    assert {r.doc_id: r.licenses for r in got} == {k: i for k, (i, _, _) in enumerate(rows)}
+
+
+def test_license_sql_agrees_on_planted_texts(spark):
+    import duckdb
+
+    lines = ["Copyright (c) 2020 Some One", "copyright notice and this permission notice", "Copyright Holder Inc", "Copyright notice and this list", "(c) You must give any other recipients", "(c) 2019 Somebody", "(c) Jane Doe <j@x.org>", "© Jane", "  # Copyright 2001, 2002 A. B.", "COPYRIGHT HOLDERS BE LIABLE", "Copyright", "(C) Copyright Foo Bar", "copyright: 1999 x", "Copyright\u2028next", "Copyright in the work", "Copyright [yyyy] [name of copyright owner]", "plain", ""]
+    texts = [*lines, *(f"{a}\n{t}\r\n{a}" for a in lines for t in KNOWN_LICENSES.values()), None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.canonical_digest, r.licenses) for r in licenses.scan(docs).collect()}
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.execute(licenses.op8_sql()).fetchall()
+    assert got == {r[0]: (r[1], r[3]) for r in want}
+    assert sum(v[1] is not None for v in got.values()) > 20
+
+
 def test_copyright_notices_and_other_lines(spark):
     notices = ["Copyright 2020 x", "copyright (c) some one", "# Copyright The Foo Authors", "Copyright Jane Doe <j@d.e>", "COPYRIGHT JANE DOE", "(c) 2020 y", "(C) Copyright 1999 z", " * (c) Jane Doe", "© me", "Copyright [yyyy] [name]", "Copyright © 2001 a", "copyright: 1999, b", "Copyright (c) <year> <owner>"]
     others = ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE", "copyright laws, the author", "copyright the software, and", "(c) You must retain, in the source form,", "(c) copyright notices must stay", "Copyright and related rights", "copyrighted works"]
