@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: File types, permission letters, attribute words.
-TYPE_LETTERS = ["-", "d", "l", "b", "c", "p", "s"]
+TYPE_LETTERS = ["?", "-", "d", "l", "-", "c", "b", "p", "s"]
 WINDOWS_WORDS = [(1, "READONLY"), (2, "HIDDEN"), (4, "SYSTEM"), (32, "ARCHIVE")]
 #: 100 ns units from 17-NOV-1858 to 1970.
 EPOCH_1858 = 35_067_168_000_000_000
@@ -48,10 +48,10 @@ def permissions(mode: Column) -> Column:
 
 
 def file_type(mode: Column) -> Column:
-    """Type code of a mode: 1 file, 2 directory, 3 link, 4 block, 5 character, 6 pipe, 7 socket."""
+    """Type code of a mode: 1 file, 2 directory, 3 symbolic link, 5 character device, 6 block device, 7 pipe, 8 socket (4, a hard link, is no mode)."""
     kind = mode.bitwiseAND(0o170000)
     out = F.when(kind == 0o100000, 1)
-    for code, bits in ((2, 0o040000), (3, 0o120000), (4, 0o060000), (5, 0o020000), (6, 0o010000), (7, 0o140000)):
+    for code, bits in ((2, 0o040000), (3, 0o120000), (5, 0o020000), (6, 0o060000), (7, 0o010000), (8, 0o140000)):
         out = out.when(kind == bits, code)
     return out.otherwise(0)
 

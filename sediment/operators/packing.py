@@ -38,6 +38,30 @@ def group_of(position: Column, group: int, parity: int) -> tuple[Column, Column]
     return F.floor(position / (group + parity)).cast("long"), F.pmod(position, F.lit(group + parity)).cast("int")
 
 
+def volume_room(blocks: int, group: int, parity: int) -> int:
+    """Data blocks of a full volume of ``blocks``: a header, whole groups, and a last group for which its parity blocks are kept free."""
+    whole, rest = divmod(blocks - 1, group + parity)
+    return whole * group + max(0, rest - parity)
+
+
+def volume_of(number: Column, blocks: int, group: int, parity: int) -> tuple[Column, Column]:
+    """(volume, place among its blocks) of a data block by its number among data blocks; volumes count from 1, the header has place 0."""
+    room = volume_room(blocks, group, parity)
+    within = F.pmod(number, F.lit(room))
+    return (F.floor(number / room) + 1).cast("long"), (1 + within + F.floor(within / group) * parity).cast("long")
+
+
+def volume_totals(count: int, blocks: int, group: int, parity: int) -> tuple[int, int]:
+    """(volumes, blocks in all) of a set of ``count`` data blocks: headers, parity and the trailer, which opens a volume if the last one is full."""
+    room = volume_room(blocks, group, parity)
+    full, rest = divmod(count, room)
+    if count and not rest:
+        full, rest = full - 1, room
+    used = 1 + rest + -(-rest // group) * parity
+    volumes, total = full + 1, full * (1 + room + -(-room // group) * parity) + used
+    return (volumes + 1, total + 2) if used + 1 > blocks else (volumes, total + 1)
+
+
 def previous_fields(rows: DataFrame, group: str, index: str, fields: dict[str, object]) -> DataFrame:
     """Adds prv_<field> of the previous row of the group, or the given value."""
     w = Window.partitionBy(group).orderBy(index)

@@ -41,15 +41,31 @@ def select(entries: DataFrame, path: str, patterns: list[str], exclude: list[str
     return out.filter(chosen if is_dir is None else is_dir | chosen)
 
 
-def prune_subtrees(entries: DataFrame, path: str, exclude: list[str]) -> DataFrame:
-    """Entries that neither match ``exclude`` nor lie below an entry that does (a walk's exclusion)."""
-    heads = entries.filter(matches(F.col(path), exclude)).select(F.col(path).alias("_head"))
+def prune_below(entries: DataFrame, path: str, heads: DataFrame) -> DataFrame:
+    """Entries that are neither among ``heads`` (one column of paths) nor below one of them."""
+    heads = heads.toDF("_head")
     steps = F.split(F.col(path), "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
     below = entries.select(path, F.explode(prefixes).alias("_head")).join(heads, "_head", "left_semi").select(path).distinct()
     return entries.join(below, path, "left_anti")
 
 
+def prune_subtrees(entries: DataFrame, path: str, exclude: list[str]) -> DataFrame:
+    """Entries that neither match ``exclude`` nor lie below an entry that does (a walk's exclusion)."""
+    return prune_below(entries, path, entries.filter(matches(F.col(path), exclude)).select(path))
+
+
+def without_nodump(entries: DataFrame, path: str, nodump: Column, is_dir: Column) -> DataFrame:
+    """A flagged directory goes with all it holds, a flagged regular file alone; a null flag is none."""
+    flagged = F.coalesce(nodump, F.lit(False))
+    return prune_below(entries.filter(~(flagged & ~is_dir)), path, entries.filter(flagged & is_dir).select(path))
+
+
+def time_of(source: str, modified: Column, created: Column, changed: Column) -> Column:
+    """The time that a selection goes by: ``modified``, ``created`` (null where the file system has none) or ``changed``."""
+    return {"modified": modified, "created": created, "changed": changed}[source]
+
+
 def chosen_by_time(time: Column, since=None, before=None) -> Column:
     """Half-open interval [since, before); a missing time is not chosen when a bound is given."""
     out = F.lit(True)

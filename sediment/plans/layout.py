@@ -52,11 +52,17 @@ def header_rebuild(spark, sf_dir):
     return told.filter("blkno % 10 = 4 AND re_recoff IS NOT NULL").select("blkno", "re_recoff", "re_paylen")
 
 
-@query(f"SELECT blkno // 4095 + 1 AS volno, count(*) AS n, min(blkno) AS first_block FROM {BLOCKS_SQL} GROUP BY ALL")
+#: Volumes of 256 blocks, groups of ten data blocks and two parity blocks: 255 = 21 * 12 + 3, so 211 data blocks.
+VOLUME = (256, 10, 2)
+
+
+@query(f"""
+SELECT blkno // 211 + 1 AS volno, count(*) AS n, min(blkno) AS first_block, max(1 + blkno % 211 + blkno % 211 // 10 * 2) AS last_place FROM {BLOCKS_SQL} GROUP BY ALL""")
 def volume_cut(spark, sf_dir):
-    """Volumes of 4096 blocks, one of them the volume's header."""
-    volno = (F.floor(F.col("blkno") / 4095) + 1).alias("volno")
-    return blocks(spark, sf_dir).groupBy(volno).agg(F.count(F.lit(1)).alias("n"), F.min("blkno").alias("first_block"))
+    """Data blocks dealt to volumes: room is kept for the parity of the last group."""
+    volno, place = packing.volume_of(F.col("blkno"), *VOLUME)
+    rows = blocks(spark, sf_dir).select("blkno", volno.alias("volno"), place.alias("place"))
+    return rows.groupBy("volno").agg(F.count(F.lit(1)).alias("n"), F.min("blkno").alias("first_block"), F.max("place").alias("last_place"))
 
 
 @query("""

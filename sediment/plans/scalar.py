@@ -42,7 +42,7 @@ def volspec(spark, sf_dir):
 SELECT p_partkey, CASE WHEN p_partkey & 256 <> 0 THEN 'r' ELSE '-' END || CASE WHEN p_partkey & 128 <> 0 THEN 'w' ELSE '-' END || CASE WHEN p_partkey & 2048 <> 0 THEN CASE WHEN p_partkey & 64 <> 0 THEN 's' ELSE 'S' END WHEN p_partkey & 64 <> 0 THEN 'x' ELSE '-' END
   || CASE WHEN p_partkey & 32 <> 0 THEN 'r' ELSE '-' END || CASE WHEN p_partkey & 16 <> 0 THEN 'w' ELSE '-' END || CASE WHEN p_partkey & 1024 <> 0 THEN CASE WHEN p_partkey & 8 <> 0 THEN 's' ELSE 'S' END WHEN p_partkey & 8 <> 0 THEN 'x' ELSE '-' END
   || CASE WHEN p_partkey & 4 <> 0 THEN 'r' ELSE '-' END || CASE WHEN p_partkey & 2 <> 0 THEN 'w' ELSE '-' END || CASE WHEN p_partkey & 512 <> 0 THEN CASE WHEN p_partkey & 1 <> 0 THEN 't' ELSE 'T' END WHEN p_partkey & 1 <> 0 THEN 'x' ELSE '-' END AS perms,
-  CASE p_partkey % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 6 WHEN 6 THEN 7 ELSE 0 END AS ftype,
+  CASE p_partkey % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 6 WHEN 4 THEN 5 WHEN 5 THEN 7 WHEN 6 THEN 8 ELSE 0 END AS ftype,
   CASE WHEN p_partkey & 39 = 0 THEN '-' ELSE concat_ws(' ', CASE WHEN p_partkey & 1 <> 0 THEN 'READONLY' END, CASE WHEN p_partkey & 2 <> 0 THEN 'HIDDEN' END, CASE WHEN p_partkey & 4 <> 0 THEN 'SYSTEM' END, CASE WHEN p_partkey & 32 <> 0 THEN 'ARCHIVE' END) END AS words FROM part""")
 def modes(spark, sf_dir):
     """Permission letters, type codes and attribute words."""

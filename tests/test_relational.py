@@ -183,3 +183,21 @@ def test_streaming_journal_goes_on_after_a_restart(spark, tmp_path):
     schema = second.schema
     (tmp_path / "journal/batch-1/_SUCCESS").unlink()  # a batch that did not end doesn't count
     assert sorted(tuple(r) for r in journal.state(spark, folder, schema).collect()) == [(1, 1, 1), (2, 1, 2), (3, 9, 3)]
+
+
+@pytest.mark.parametrize("size, group, parity", [(256, 10, 2), (16, 4, 1), (16, 3, 1), (12, 5, 3)])
+def test_volumes_are_cut_as_the_writer_cuts_them(spark, size, group, parity):
+    from sediment.sources import blocks
+
+    layout = blocks.Layout(block=8192, group=group, parity=parity, volume=8192 * size)
+    for n in (1, 7, 60, 300):
+        writer = blocks.Writer(layout, b"")
+        for _ in range(n):
+            writer.buffer = bytearray(b"x")
+            writer.close_block()
+        cut = [(v, p) for v, volume in enumerate(writer.volumes, 1) for p, b in enumerate(volume) if b.type == blocks.DATA]
+        volno, place = packing.volume_of(packing.F.col("id"), size, group, parity)
+        if n == 300:
+            assert [tuple(r) for r in spark.range(n).select(volno, place).collect()] == cut
+        writer.finish()
+        assert packing.volume_totals(n, size, group, parity) == (len(writer.volumes), sum(map(len, writer.volumes)))
