@@ -61,10 +61,33 @@ def encrypt_roundtrip(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || CASE WHEN text = '' OR right(text, 1) IN (chr(10), chr(13)) THEN '' ELSE chr(10) END) AS digest FROM documents")
 def vms_records_to_text(spark, sf_dir):
-    """Documents as variable-length records of a foreign saveset and back to text."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    files = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(sets_of(docs))).alias("part"), "doc_id", "content")
-    return vms.roundtrip(files).select("doc_id", F.sha2("text", 256).alias("digest"))
+    """Documents as variable-length records of foreign savesets and back to text."""
+    found = vms.read(spark, foreign(spark, sf_dir)).select(F.regexp_extract("path", r"D(\d+)\.TXT$", 1).cast("long").alias("doc_id"), "text")
+    return found.select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+def foreign(spark, sf_dir) -> str:
+    """Documents as files of foreign savesets; returns their folder."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(sets_of(docs))).alias("part"), F.format_string("[DOCS]D%d.TXT;1", "doc_id").alias("spec"), vms.variable_text(F.col("text")).alias("content"), F.lit(vms.VARIABLE).alias("format"), F.lit(vms.CARRIAGE_RETURN).alias("attributes"))
+    where = folder(spark)
+    vms.write_sets(rows, where).write.format("noop").mode("overwrite").save()
+    return where
+
+
+@query("SELECT count(*) AS files, count(*) FILTER (WHERE doc_id = 17) AS wanted, 0::BIGINT AS damaged FROM documents")
+def vms_totals(spark, sf_dir):
+    """Files of foreign savesets, those wanted by name, and damaged ones."""
+    return vms.read(spark, foreign(spark, sf_dir)).agg(F.count(F.lit(1)).alias("files"), F.count_if(vms.named("[docs]d17.txt;1")).alias("wanted"), F.count_if("damaged").alias("damaged"))
+
+
+@query(IDENTITY)
+def stream_split(spark, sf_dir):
+    """Savesets as forward-only streams, split back into volumes and delivered."""
+    where = saved(spark, sf_dir, blocks.Layout(block=8192, group=4, volume=8192 * 16))
+    saveset.as_streams(spark, where, f"{where}-streams").write.format("noop").mode("overwrite").save()
+    saveset.split_streams(spark, f"{where}-streams", f"{where}-again").write.format("noop").mode("overwrite").save()
+    return delivered(spark, f"{where}-again")
 
 
 def damaged(spark, where: str, layout: blocks.Layout, lost: int) -> str:

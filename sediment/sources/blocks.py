@@ -451,17 +451,18 @@ def groups_of(volumes: list, events: list[tuple], passphrase: bytes | None = Non
         data = volume[(1 + first) * size : (1 + first + n) * size]
         return [good(opened(data[i * size : (i + 1) * size], size)) for i in range(n)]
 
-    for number, volume in enumerate(volumes, 1):
+    for k, volume in enumerate(volumes, 1):
+        head = opened(volume[:size], size)
+        number = k if head is None else head.volno  # a volume may be missing
         if start and number < start[0]:
             continue
         n_blocks = max(0, -(-len(volume) // size) - 1)
         if n_blocks:
             (end,) = blocks_at(volume, n_blocks - 1, 1)
-            if end is None and number == len(volumes) or end is not None and end.type in (TRAILER, ETRAILER):
+            if end is None and k == len(volumes) or end is not None and end.type in (TRAILER, ETRAILER):
                 n_blocks -= 1
         begin = 0
         if start and number == start[0]:
-            head = opened(volume[:size], size)
             if head is not None:  # blocks are numbered on from the volume's header
                 begin = max(0, start[1] - head.blkno - 1) // span * span
         for at in range(begin, n_blocks, span):

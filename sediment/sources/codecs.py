@@ -117,7 +117,13 @@ def decode(data: bytes, codec: int, size: int, partial: bool = False) -> bytes:
     return bytes(out[:size])
 
 
+#: Octets of a long piece that the fast codec tries first, and the share of them above which it gives up.
+PROBE, PROBE_SHARE = 1 << 16, 0.97
+
+
 def pack(data: bytes, codec: int, level: int = 5) -> bytes | None:
     """Compressed bytes if they are shorter by more than four and decode to the same, else null."""
+    if codec == LZ4 and len(data) >= 2 * PROBE and len(lz4_encode(data[:PROBE])) > PROBE_SHARE * PROBE:
+        return None
     packed = encode(data, codec, level)
     return packed if len(packed) + 4 < len(data) and decode(packed, codec, len(data)) == data else None

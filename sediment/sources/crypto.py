@@ -69,3 +69,16 @@ class Keys:
 
     def tag(self, ssuuid: bytes, bsize: int, blkno: int, volno: int, kind: int, gindex: int, recoff: int, ciphertext: bytes) -> bytes:
         return hmac_sha256(self.mac, ssuuid + struct.pack("<IQIBHII", bsize, blkno, volno, kind, gindex, recoff, len(ciphertext)) + ciphertext)
+
+
+def passphrase_in(path: str) -> bytes:
+    """The first line of a key file, which nobody but its owner may read."""
+    import os
+
+    with open(path, "rb") as file:
+        if os.fstat(file.fileno()).st_mode & 0o077:
+            raise PermissionError(f"{path}: others can read the key file")
+        line = file.readline().rstrip(b"\r\n")
+    if not line:
+        raise ValueError(f"{path}: no passphrase in the key file")
+    return line

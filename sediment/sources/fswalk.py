@@ -3,8 +3,8 @@
 Options: ``path`` (a folder that all executors see), ``pattern`` (component by component, ``...``
 for any number of levels), ``exclude`` (comma list; an excluded directory's subtree is not
 entered), ``crossDevice`` (default true; if false, a mount point is listed but not entered),
-``maxDepth`` (256). Each directory below the root is one partition; the root's own entries are
-another. Order rows by ``split(path, '/')`` for walk order.
+``maxDepth`` (256). The entries of the upper folders are a partition each, and so is every tree below them, once
+there are enough trees. Order rows by ``split(path, "/")`` for walk order.
 """
 
 from __future__ import annotations
@@ -37,29 +37,54 @@ class Folder(InputPartition):
         self.name, self.deep = name, deep
 
 
+#: Folder levels that planning looks into, and the number of trees it stops at.
+LEVELS, TREES = 4, 64
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"].removeprefix("file://").rstrip("/")
         self.exclude = [re.compile(pattern_regex(p)) for p in split_list(options.get("exclude", ""))]
         self.pattern = re.compile(path_regex(options["pattern"])) if options.get("pattern") else None
-        self.cross, self.depth = options.get("crossDevice", "true").lower() != "false", int(options.get("maxDepth", MAX_DEPTH))
+        self.cross, self.depth = options.get("crossdevice", "true").lower() != "false", int(options.get("maxdepth", MAX_DEPTH))
 
     def partitions(self):
-        folders = [e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False)]
-        return [Folder("", False), *(Folder(n, True) for n in sorted(folders))]
+        """The entries of the upper folders one by one, and whole trees below them once there are enough of those."""
+        out, level, home = [], [""], os.lstat(self.root).st_dev
+        for _ in range(LEVELS):
+            out += [Folder(p, False) for p in level]
+            level = [c for p in level for c in self.folders_in(p, home)]
+            if len(level) >= TREES:
+                break
+        return out + [Folder(p, True) for p in level]
+
+    def folders_in(self, path: str, home: int) -> list[str]:
+        here = f"{self.root}/{path}"
+        if path and (path.count("/") + 2 > self.depth or not self.cross and os.lstat(here).st_dev != home):
+            return []
+        try:
+            names = sorted(e.name for e in os.scandir(here) if e.is_dir(follow_symlinks=False))
+        except OSError:
+            return []
+        return [p for n in names if not self.excluded(p := f"{path}/{n}" if path else n)]
 
     def excluded(self, path: str) -> bool:
         return any(p.match(path) for p in self.exclude)
 
     def read(self, partition):
-        home = os.lstat(self.root).st_dev
-        if not partition.deep:
-            for name in sorted(os.listdir(self.root)):
-                if not self.excluded(name):
-                    yield from self.row(name)
-            return
-        if not self.excluded(partition.name):
-            yield from self.below(partition.name, 2, home)
+        home, path = os.lstat(self.root).st_dev, partition.name
+        depth = path.count("/") + 2
+        if partition.deep:
+            yield from self.below(path, depth, home)
+        elif not path or depth <= self.depth and (self.cross or os.lstat(f"{self.root}/{path}").st_dev == home):
+            try:
+                names = sorted(os.listdir(f"{self.root}/{path}"), key=os.fsencode)
+            except OSError:
+                return
+            for name in names:
+                full = f"{path}/{name}" if path else name
+                if not self.excluded(full):
+                    yield from self.row(full)
 
     def below(self, path: str, depth: int, home: int):
         here = f"{self.root}/{path}"
@@ -99,7 +124,7 @@ class WalkSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return Reader(dict(self.options))
+        return Reader({k.lower(): v for k, v in self.options.items()})  # names of options have no case
 
 
 def walk(spark: SparkSession, path: str, **options: str) -> DataFrame:

@@ -122,7 +122,8 @@ def commit(savesets: DataFrame, states: DataFrame, path: str) -> int:
     import pyarrow as pa
 
     of_sets = [r.asDict() for r in savesets.orderBy("seq").collect()]  # one row for each saveset ever recorded
-    total = len(of_sets) + states.count()
+    n_states = states.count()
+    total = len(of_sets) + n_states
     own = f"{path}.{uuid.uuid4().hex}.tmp"
 
     def write(batches):
@@ -146,8 +147,8 @@ def commit(savesets: DataFrame, states: DataFrame, path: str) -> int:
 
     # one file is one stream: one task, which sorts with spilling and writes as it goes
     in_order = states.select(*(f.split()[0] for f in SCHEMAS["states"].split(", "))).repartition(1).sortWithinPartitions(F.encode("path", "utf-8"))
-    written = sum(r.n for r in in_order.mapInArrow(write, "n long").collect())
-    if written + len(of_sets) != total:
+    written = sum(r.n for r in in_order.mapInArrow(write, "n long").collect()) if n_states else sum(b.column(0)[0].as_py() for b in write([]))
+    if written != n_states:
         raise RuntimeError("the states changed while they were written")
     store, where = saveset.open_store(path)
     store.move(saveset.open_store(own)[1], where)

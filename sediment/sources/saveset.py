@@ -1,7 +1,8 @@
 """Data source ``saveset``: a folder of savesets as tables.
 
 Options: ``path`` (a folder or one first volume, any URI), ``table`` (files, records, blocks,
-catalog, summary or events), ``passphrase`` and ``keyLabel`` for encrypted savesets. One saveset is one partition, planned on the driver from the folder's
+catalog, summary or events), ``passphrase`` or ``keyFile`` (read on the driver) and ``keyLabel`` for encrypted savesets,
+``add`` (comma-separated volumes found elsewhere: each takes the place that its header names, if it is of the same saveset). One saveset is one partition, planned on the driver from the folder's
 names; blocks of one volume are one partition. A task reads by place and holds one group of blocks. An exact filter on ``saveset`` prunes partitions;
 an exact filter on ``path`` of files goes by the trailer and the catalog to the records of that name and reads nothing else.
 Catalogs and summaries are read from where the trailer says they are. A volume that is missing or cut short is an
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
-from sediment.sources import blocks
+from sediment.sources import blocks, crypto
 
 SCHEMAS = {
     "files": "saveset string, fileno long, path string, ftype int, mode int, uid long, gid long, size long, mtime_sec long, mtime_nsec int, link string, crc long, status int, intact boolean, content binary",
@@ -76,11 +77,36 @@ def volumes_below(path: str) -> list[tuple[str, list[str]]]:
     return out
 
 
+def head_of(path: str):
+    """(saveset, volume number) that the header of a volume names; nulls if it is lost."""
+    volume = opened(path)
+    known = blocks.summary_of(volume)
+    block = blocks.opened(volume[: known[0]], known[0]) if known else None
+    return (block.ssuuid, block.volno) if block else (None, None)
+
+
+def with_added(volumes: list[str], added: list[str]) -> list[str]:
+    """Volumes of a saveset with those of ``added`` that are of it, by number; one that is there already stays."""
+    if not added:
+        return volumes
+    heads = [(v, *head_of(v)) for v in volumes]
+    own = next((s for _, s, _ in heads if s), None)
+    places = {number or k: v for k, (v, _, number) in enumerate(heads, 1)}
+    for path in added:
+        of_set, number = head_of(path)
+        if of_set is not None and of_set == own:
+            places.setdefault(number, path)
+    return [places[k] for k in sorted(places)]
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table = options["path"].rstrip("/"), options.get("table", "files")
-        secret = options.get("passphrase")
-        self.key = {"passphrase": secret.encode() if secret else None, "label": options.get("keyLabel", "SEDIMENT")}
+        secret = options["passphrase"].encode() if options.get("passphrase") else None
+        if secret is None and options.get("keyfile"):
+            secret = crypto.passphrase_in(options["keyfile"])
+        self.added = [v for v in options.get("add", "").split(",") if v]
+        self.key = {"passphrase": secret, "label": options.get("keylabel", "SEDIMENT")}
         self.only: set[str] | None = None
         self.named: str | None = None
 
@@ -97,6 +123,7 @@ class Reader(DataSourceReader):
         out = []
         for name, volumes in volumes_below(self.path):
             if self.only is None or name in self.only:
+                volumes = with_added(volumes, self.added)
                 out += [Saveset(name, [v]) for v in volumes] if self.table == "blocks" else [Saveset(name, volumes)]
         return out or [Saveset("", [])]
 
@@ -124,7 +151,7 @@ class Reader(DataSourceReader):
         elif self.table == "summary":
             yield self.summary(name, volumes)
         else:
-            seen = [int(m[1]) if (m := re.search(r"\.bck\.(\d+)$", v)) else 1 for v in partition.volumes]
+            seen = [head_of(v)[1] or k for k, v in enumerate(partition.volumes, 1)]
             events += [("MISSING", k, 0) for k in range(1, seen[-1]) if k not in seen]
             if blocks.trailer_of(volumes, **self.key) is None:
                 events.append(("TRUNCATED", seen[-1], 0))
@@ -163,7 +190,7 @@ class SavesetSource(DataSource):
         return SCHEMAS[self.options.get("table", "files")]
 
     def reader(self, schema):
-        return Reader(dict(self.options))
+        return Reader({k.lower(): v for k, v in self.options.items()})  # names of options have no case
 
 
 def register(spark: SparkSession) -> None:
@@ -273,6 +300,82 @@ def transfer(spark: SparkSession, source: str, target: str, change=None) -> Data
     return listed.mapInArrow(copy, COPIED)
 
 
+def as_streams(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Each saveset below ``source`` as one file below ``target``, its volumes one after the other; (saveset, bytes)."""
+    import pyarrow as pa
+
+    store, where = open_store(target)
+    store.create_dir(where, recursive=True)
+    todo = [(name, volumes) for name, volumes in volumes_below(source)]
+
+    def join(batches):
+        for batch in batches:
+            out = []
+            for name, volumes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                files, folder = open_store(target)
+                total = 0
+                with files.open_output_stream(f"{folder}/{name}.stream", compression=None) as to:
+                    for path in volumes:
+                        volume = opened(path)
+                        for at in range(0, len(volume), 1 << 20):
+                            total += to.write(volume[at : at + (1 << 20)])
+                out.append((name, total))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([t for _, t in out], pa.int64())], names=["saveset", "bytes"])
+
+    return spark.createDataFrame(todo, "saveset string, volumes array<string>").repartition(max(1, len(todo)), "saveset").mapInArrow(join, "saveset string, bytes long")
+
+
+def split_streams(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Volumes out of streams, read forward only: every good header of another number begins a volume, a stream that ends early is told.
+
+    (saveset, volumes, blocks, bad, whole); ``whole``: a trailer was the last block.
+    """
+    import pyarrow as pa
+    from pyarrow import fs
+
+    store, where = open_store(source)
+    prefix = source[: len(source) - len(where)]
+    todo = [(prefix + i.path,) for i in store.get_file_info(fs.FileSelector(where)) if i.path.endswith(".stream")]
+    to_store, folder = open_store(target)
+    to_store.create_dir(folder, recursive=True)
+
+    def split_one(path: str) -> tuple:
+        files, folder = open_store(target)
+        name = path.rpartition("/")[2].removesuffix(".stream")
+        stores, where = open_store(path)
+        out, number, count, bad, last = None, 0, 0, 0, None
+        with stores.open_input_stream(where, compression=None) as stream:
+            first = stream.read(64)
+            size = blocks.HEADER.unpack(first)[3] if len(first) == 64 and first[:4] == blocks.MAGIC else 0
+            if not size:
+                raise ValueError(f"{path} is no saveset")
+            data = first + stream.read(size - 64)
+            while data:
+                last = blocks.opened(data, size)
+                if last is not None and last.type == blocks.VHDR and last.volno != number:
+                    if out is not None:
+                        out.close()
+                    number = last.volno
+                    out = files.open_output_stream(f"{folder}/{name}" + (f".{number:03d}" if number > 1 else ""), compression=None)
+                if out is None:
+                    raise ValueError(f"{path} does not begin with a header")
+                bad += last is None
+                count += 1
+                out.write(data)
+                data = stream.read(size)
+            out.close()
+        return name, number, count, bad, last is not None and last.type in (blocks.TRAILER, blocks.ETRAILER) and bool(last.flags & blocks.LAST_IN_SET)
+
+    def split_all(batches):
+        for batch in batches:
+            rows = [split_one(p) for p in batch.column("path").to_pylist()]
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["saveset", "volumes", "blocks", "bad", "whole"])
+
+    listed = spark.createDataFrame(todo, "path string").repartition(max(1, len(todo)), "path")
+    return listed.mapInArrow(split_all, "saveset string, volumes int, blocks long, bad long, whole boolean")
+
+
 def restore_chain(spark: SparkSession, folders: list[str], **options: str) -> DataFrame:
     """The files after restoring savesets, oldest folder first: path, link number and all columns of files.
 

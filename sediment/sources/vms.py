@@ -12,6 +12,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Fixed values of the format.
 HEADER_BYTES, LEVEL = 256, 0x0101
@@ -275,14 +279,89 @@ def write(entries: list[tuple[str, bytes, int, int]], bsize: int = 8192, group:
     return b"".join(out)
 
 
-def roundtrip(rows):
-    """Each part's documents as a saveset of variable-length texts, and the texts read from it: doc_id, text."""
+SCHEMA = "saveset string, seq long, spec string, path string, is_dir boolean, format int, organization int, attributes int, protection int, revised long, used long, size long, damaged boolean, content binary, text binary"
+
+
+class Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path = options["path"].rstrip("/")
+
+    def partitions(self):
+        from pyarrow import fs
+
+        from sediment.sources.saveset import open_store
+
+        store, where = open_store(self.path)
+        prefix = self.path[: len(self.path) - len(where)]
+        info = store.get_file_info(where)
+        found = [i.path for i in store.get_file_info(fs.FileSelector(where)) if i.type == fs.FileType.File] if info.type == fs.FileType.Directory else [where]
+        return [InputPartition(prefix + f) for f in sorted(found)] or [InputPartition("")]
+
+    def read(self, partition):
+        from sediment.sources.saveset import open_store
+
+        if not partition.value:
+            return
+        store, where = open_store(partition.value)
+        with store.open_input_stream(where, compression=None) as handle:
+            data = handle.read()
+        if not is_saveset(data[:HEADER_BYTES]):
+            return  # another kind of file
+        for seq, f in enumerate(files(data, [])):
+            yield where.rpartition("/")[2], seq, f["spec"], f["path"], f["isdir"], f["form"], f["organization"], f["flags"], f["mask"], f["revised"], f["used"], f["bytes"], f["damaged"], f["content"], f["text"]
+
+
+class VmsSource(DataSource):
+    """Savesets of the foreign format below a folder, one partition each; other files are passed by."""
+
+    @classmethod
+    def name(cls):
+        return "vms"
+
+    def schema(self):
+        return SCHEMA
+
+    def reader(self, schema):
+        return Reader(dict(self.options))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    spark.dataSource.register(VmsSource)
+    return spark.read.format("vms").options(path=path).load()
+
+
+def named(wanted: str) -> Column:
+    """Whether a file is the one that is wanted: its path, its path with the version, or its specification in any case."""
+    path, version = F.col("path"), F.regexp_extract("spec", r";(\d+)$", 1)
+    plain = F.when((version != "") & path.endswith(F.concat(F.lit(";"), version)), F.expr("regexp_replace(path, ';[0-9]+$', '')")).otherwise(path)
+    return (F.upper("spec") == wanted.upper()) | (plain == wanted) | (F.concat(plain, F.lit(";"), version) == wanted)
+
+
+def write_sets(rows: DataFrame, folder: str) -> DataFrame:
+    """A saveset below ``folder`` for each ``part`` of (part, spec, content, format, attributes); (saveset, bytes)."""
     import pyarrow as pa
 
-    def through(table: pa.Table) -> pa.Table:
-        ids, contents = table["doc_id"].to_pylist(), table["content"].to_pylist()
-        packed = write([(f"[DOCS]D{i}.TXT;1", as_variable(c), VARIABLE, CARRIAGE_RETURN) for i, c in zip(ids, contents, strict=True)])
-        found = [(int(re.search(r"D(\d+)\.TXT$", f["path"])[1]), f["text"]) for f in files(packed, [])]
-        return pa.table({"doc_id": pa.array([i for i, _ in found], pa.int64()), "text": pa.array([t for _, t in found], pa.binary())})
+    from sediment.sources.saveset import open_store
+
+    store, where = open_store(folder)
+    store.create_dir(where, recursive=True)
+
+    def save(key, table):
+        name = f"set-{key[0].as_py()}.sav"
+        listed = sorted(zip(*(table[c].to_pylist() for c in ("spec", "content", "format", "attributes")), strict=True))
+        data = write(listed)
+        target, at = open_store(folder)
+        with target.open_output_stream(f"{at}/{name}", compression=None) as out:
+            out.write(data)
+        return pa.table({"saveset": [name], "bytes": pa.array([len(data)], pa.int64())})
+
+    return rows.groupBy("part").applyInArrow(save, "saveset string, bytes long")
+
+
+def variable_text(text: Column) -> Column:
+    """Texts as variable-length records."""
+    @F.pandas_udf("binary")
+    def make(x: pd.Series) -> pd.Series:
+        return x.map(as_variable)
 
-    return rows.groupBy("part").applyInArrow(through, "doc_id long, text binary")
+    return make(text)

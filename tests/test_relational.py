@@ -201,3 +201,138 @@ def test_volumes_are_cut_as_the_writer_cuts_them(spark, size, group, parity):
             assert [tuple(r) for r in spark.range(n).select(volno, place).collect()] == cut
         writer.finish()
         assert packing.volume_totals(n, size, group, parity) == (len(writer.volumes), sum(map(len, writer.volumes)))
+
+
+def some_sets(spark, tmp_path, **layout):
+    from pyspark.sql import functions as F
+
+    from sediment.sources.blocks import Layout
+
+    files = spark.range(40).select((F.col("id") % 2).alias("part"), F.concat(F.lit("f"), "id").alias("path"), F.expr("cast(repeat(cast(id as string), 3000) as binary)").alias("content"))
+    where = f"file://{tmp_path}/sets"
+    saveset.write(files, where, "part", Layout(block=8192, group=3, **layout)).collect()
+    return where
+
+
+def test_missing_added_and_truncated_volumes(spark, tmp_path):
+    where = some_sets(spark, tmp_path, volume=8192 * 8)
+    whole = saveset.read(spark, where).count()
+    (tmp_path / "away").mkdir()
+    (tmp_path / "sets/set-0.bck.002").rename(tmp_path / "away/x")
+    (tmp_path / "sets/set-1.bck").rename(tmp_path / "away/other")  # another saveset's volume is never taken
+    less = saveset.read(spark, where).filter("saveset = 'set-0.bck'")
+    assert 0 < less.filter("intact").count() < 20
+    events = saveset.read(spark, where, "events").filter("kind = 'MISSING'").collect()
+    assert [(r.saveset, r.vol) for r in events] == [("set-0.bck", 2)]
+    again = saveset.read(spark, where, add=f"file://{tmp_path}/away/other,file://{tmp_path}/away/x").filter("saveset = 'set-0.bck' AND intact")
+    assert again.count() == 20 and whole == 40
+    # one name is found behind the missing volume, since volumes go by their own numbers
+    last = less.filter("intact").selectExpr("max(path)").first()[0]
+    assert saveset.read(spark, where).filter(f"path = '{last}'").count() == 1
+    ends = sorted((tmp_path / "sets").glob("set-0.bck*"))[-1]
+    ends.write_bytes(ends.read_bytes()[: -8192])
+    assert {r.kind for r in saveset.read(spark, where, "events").collect()} >= {"TRUNCATED"}
+    assert saveset.read(spark, where, "summary").filter("whole").count() == 0
+
+
+def test_a_file_is_read_from_its_place(spark, tmp_path):
+    from sediment.sources import blocks
+
+    entries = [({"path": b"f%d" % i, "ftype": 1, "mode": 0, "uid": 0, "gid": 0, "mtime": (0, 0)}, b"%d" % i * 3000) for i in range(300)]
+    (data,) = blocks.write(entries, blocks.Layout(block=8192, group=3))
+    seen = []
+
+    def read(at, n):
+        seen.append(n)
+        return data[at : at + n]
+
+    (file,) = blocks.file_named([blocks.Volume(read, len(data))], b"f138", [])
+    assert file["content"] == b"138" * 3000 and file["intact"] and sum(seen) < len(data) // 8
+    assert not list(blocks.file_named([blocks.Volume(read, len(data))], b"f399", []))
+
+
+def test_holes_are_not_stored():
+    from sediment.sources import blocks
+
+    content = bytes(200_000) + b"x" + bytes(300_000) + b"y" * 70_000 + bytes(1 << 17)
+    volumes = blocks.write([({"path": b"sparse", "ftype": 1, "mode": 0o600, "uid": 0, "gid": 0, "mtime": (0, 0)}, content), ({"path": b"none", "ftype": 1, "mode": 0, "uid": 0, "gid": 0, "mtime": (0, 0)}, bytes(1 << 20))], blocks.Layout(block=8192))
+    assert sum(map(len, volumes)) < 300_000
+    got = {f["path"]: f for f in blocks.files_of(volumes, [])}
+    assert got[b"sparse"]["content"] == content and got[b"none"]["content"] == bytes(1 << 20) and all(f["intact"] for f in got.values())
+
+
+def test_key_files(spark, tmp_path):
+    from sediment.sources import crypto
+
+    key = tmp_path / "key"
+    key.write_text("first line\nsecond\n")
+    key.chmod(0o644)
+    with pytest.raises(PermissionError):
+        crypto.passphrase_in(str(key))
+    key.chmod(0o600)
+    assert crypto.passphrase_in(str(key)) == b"first line"
+    where = some_sets(spark, tmp_path, keys=crypto.Keys.derive(b"first line", rounds=1000))
+    assert saveset.read(spark, where, keyFile=str(key)).filter("intact").count() == 40
+
+
+def test_damaged_journals_are_told(spark, tmp_path):
+    from sediment.sources import journal
+
+    states = spark.createDataFrame([("/a/x", 1, 2, 3, 4, 5, 6, 7, 1, b"u" * 16, 8, 9), ("/a-b", 1, -2, 3, 4, 5, 6, 7, 3, b"u" * 16, 8, 9)], journal.SCHEMAS["states"])
+    sets = spark.createDataFrame([(1, b"u" * 16, "/s/b.bck", 1, 2, 0, ["/", "/b"], 3, 4), (0, b"v" * 16, "/s/a.bck", None, None, 1, [], 0, 0)], journal.SCHEMAS["savesets"])
+    path = tmp_path / "saves.jnl"
+    assert journal.commit(sets, states, f"file://{path}") == 4
+    first = path.read_bytes()
+    got = journal.read(spark, f"file://{path}")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, states.collect()))
+    assert [(r.spec, r.bases, r.kind) for r in journal.read(spark, f"file://{path}", "savesets").orderBy("seq").collect()] == [("/s/a.bck", [], 1), ("/s/b.bck", ["/", "/b"], 0)]
+    journal.commit(journal.read(spark, f"file://{path}", "savesets"), got.repartition(3), f"file://{path}")
+    assert path.read_bytes() == first  # equal contents make equal files
+    path.write_bytes(first[:40] + bytes([first[40] ^ 1]) + first[41:])
+    with pytest.raises(Exception, match="damaged"):
+        journal.read(spark, f"file://{path}").collect()
+    nothing = tmp_path / "empty.jnl"
+    journal.commit(sets.limit(0), states.limit(0), f"file://{nothing}")
+    assert journal.read(spark, f"file://{nothing}").count() == 0
+
+
+def test_restore_prunes_what_later_catalogs_lack(spark, tmp_path):
+    from sediment.sources import blocks
+
+    layout = blocks.Layout(block=8192)
+    columns = "part int, path string, ftype int, content binary, status int"
+
+    def link(k, kind, rows):
+        saveset.write(spark.createDataFrame([(0, *r) for r in rows], columns), f"file://{tmp_path}/{k}", "part", layout, kind=kind).collect()
+        return f"file://{tmp_path}/{k}"
+
+    d, f = blocks.DIRECTORY, blocks.REGULAR
+    chain = [
+        link(0, blocks.FULL, [("d", d, None, 0), ("d/a", f, b"a0", 0), ("d/b", f, b"b0", 0), ("d/e", d, None, 0), ("d/e/x", f, b"x0", 0), ("top", f, b"t0", 0), ("g/y", f, b"y0", 0)]),
+        link(1, blocks.INCREMENTAL, [("d", d, None, 0), ("d/a", f, None, blocks.PRESENT), ("d/c", f, b"c1", 0)]),
+        link(2, blocks.INCREMENTAL, [("d", d, None, 0), ("d/a", f, b"a2", 0), ("d/c", f, None, blocks.PRESENT)]),
+    ]
+    got = {r.path: r.content for r in saveset.restore_chain(spark, chain).filter("ftype = 1").collect()}
+    # d/b and all of d/e went with the first incremental; what is not in a listed directory stays
+    assert got == {"d/a": b"a2", "d/c": b"c1", "top": b"t0", "g/y": b"y0"}
+
+
+def test_deep_trees_are_cut_into_many_partitions(spark, tmp_path):
+    want = set()
+    for i in range(3):
+        for j in range(30):
+            (tmp_path / f"a{i}/b{j}/c").mkdir(parents=True)
+            (tmp_path / f"a{i}/b{j}/c/f").write_text("x")
+            want |= {f"a{i}", f"a{i}/b{j}", f"a{i}/b{j}/c", f"a{i}/b{j}/c/f"}
+    found = fswalk.walk(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 1 + 3 + 90 and [r.path for r in found.select("path").collect()].__len__() == len(want) and {r.path for r in found.collect()} == want
+    some = fswalk.walk(spark, str(tmp_path), exclude="a1,a2/b3*", maxDepth="3")
+    assert {r.path for r in some.collect()} == {p for p in want if not p.startswith(("a1", "a2/b3")) and p.count("/") < 3}
+
+
+def test_fast_codec_gives_up_early():
+    from sediment.sources import codecs
+
+    noise, text = os.urandom(1 << 17), b"some words " * 20_000
+    assert codecs.pack(noise, codecs.LZ4) is None and codecs.pack(noise[: 1 << 16] + text, codecs.LZ4) is None
+    assert len(codecs.pack(text, codecs.LZ4)) < 5000
