@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.storage import drop_scratch, file_system, materialize, scratch_path, shared_dir
 
-__all__ = ["drop_scratch", "file_system", "make_remote_dir", "materialize", "maybe_among", "open_remote", "partitions_for", "row_key", "scratch_path", "shared_dir", "sliced", "utf8"]
+__all__ = ["drop_scratch", "file_system", "make_remote_dir", "materialize", "maybe_among", "open_remote", "partitions_for", "row_key", "scratch_path", "shared_dir", "sliced", "small_batches", "utf8"]
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
@@ -23,6 +23,17 @@ def utf8(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit("")).cast("binary")
 
 
+#: Bytes of a batch that goes to or comes from a Python worker, unless the session says otherwise.
+BATCH_BYTES = "8m"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of bounded bytes for this session's Python workers; long texts make Spark's own default large on both sides."""
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 #: Bits of the filter of :func:`maybe_among`; the words of 64 bits that are broadcast are 2^18 at most, whatever the data.
 FILTER_BITS = 24
 
@@ -57,7 +68,7 @@ def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sliced(batches, column: str, limit: int = 4 << 20):
+def sliced(batches, column: str, limit: int = 1 << 20):
     """Arrow batches cut into runs of rows with about ``limit`` bytes in ``column`` (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sediment.llm.common import sliced
+from sediment.llm.common import sliced, small_batches
 
 BUCKETS = 1 << 16
 #: Bound of the training sample: labelled documents, each with all its words.
@@ -304,6 +304,7 @@ def training_rows(known: DataFrame, total: int = TRAIN_DOCS) -> list[tuple[str,
 
 def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Language of each row, learned from rows that are not ``held_out`` (a column over doc_id) and have a language."""
+    small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = named.filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = fit(training_rows(known))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import drop_scratch, materialize, partitions_for, sliced
+from sediment.llm.common import drop_scratch, materialize, partitions_for, sliced, small_batches
 from sediment.llm.exchange import BLOB_SCHEMA, from_planes, key_parts, pack, planes, rows_batch, unpack
 
 CHUNK_BYTES = 4 << 20
@@ -234,6 +234,7 @@ def score_documents(docs: DataFrame, fold, id_col: str = "doc_id", text_col: str
 
     Columns of SCORE_SCHEMA, and train_tokens.
     """
+    small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = materialize(named.select("doc_id", "text", fold.cast("int").alias("fold")).mapInArrow(encode, BLOB_SCHEMA), "lm-chunks")
 

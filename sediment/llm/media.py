@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import make_remote_dir, materialize, open_remote, partitions_for, scratch_path, sliced, utf8
+from sediment.llm.common import make_remote_dir, materialize, open_remote, partitions_for, scratch_path, sliced, small_batches, utf8
 
 UNIT = 64
 #: Fixed values of the PNG format.
@@ -173,6 +173,7 @@ def read_features(addresses: DataFrame) -> DataFrame:
 
 def media_columns(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row with its payload's address, metadata and features."""
+    small_batches(docs.sparkSession)
     refs = store(docs, folder, id_col, text_col)
     addresses = materialize(canonical(refs), "media-addresses")
     known = read_headers(addresses).join(read_features(addresses), "digest").join(addresses, "digest")

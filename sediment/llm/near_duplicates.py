@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import drop_scratch, materialize, maybe_among, row_key, sliced
+from sediment.llm.common import drop_scratch, materialize, maybe_among, row_key, sliced, small_batches
 from sediment.llm.components import connected_components
 from sediment.llm.exchange import pack, unpack
 
@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id: the least doc_id with an equal shingle set; group_id: the least doc_id of the
     connected documents; keep: true for one row of each group (the least id, then text hash).
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(texts.mapInArrow(describe, ROW_SCHEMA), "near-rows")
     # one representative a class: its least (id, hash) stands for it, null ids last; node is a number of its own for the graph

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import materialize, partitions_for, row_key, sliced
+from sediment.llm.common import materialize, partitions_for, row_key, sliced, small_batches
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 8192
@@ -773,6 +773,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id"
         model = file.read()
     if len(model) > 64 << 20:
         raise ValueError("model file of more than 64 MB")
+    small_batches(docs.sparkSession)
     texts = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     is_short = F.coalesce(F.length("text"), F.lit(0)) + 1 <= chunk
     chunks = encode_long(texts.filter(~is_short), model, chunk, fan)

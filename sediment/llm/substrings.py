@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import materialize, partitions_for, row_key, sliced, utf8
+from sediment.llm.common import materialize, partitions_for, row_key, sliced, small_batches, utf8
 from sediment.llm.exchange import ALONE, BLOB_SCHEMA, OPEN, SETTLED, SETTLED_AMONG_OPEN, ask_repeats, ask_splits, pack, repeats, rows_batch, splits, told, told_splits, unpack
 
 LENGTH = 200
@@ -318,6 +318,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if length < 64:
         raise ValueError("length must be 64 bytes at least")
+    small_batches(docs.sparkSession)
     rows = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data"))
     chunks = materialize(rows.mapInArrow(gather, BLOB_SCHEMA), "substring-chunks")
     total = chunks.agg(F.coalesce(F.sum("part"), F.lit(0))).first()[0]

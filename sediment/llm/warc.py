@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import make_remote_dir, materialize, open_remote, partitions_for, scratch_path, sliced, utf8
+from sediment.llm.common import make_remote_dir, materialize, open_remote, partitions_for, scratch_path, sliced, small_batches, utf8
 
 #: Fixed values of the Zstandard seekable format and of WARC 1.1.
 SKIPPABLE_SEEK_TABLE = 0x184D2A5E
@@ -174,6 +174,7 @@ def write_bundles(linked: DataFrame, folder: str, frame_bytes: int = 1 << 18, bu
     Each task writes files under names of its own and only files whose rows were committed
     to the index table are ever read, so a task that is lost and run again does no harm.
     """
+    small_batches(linked.sparkSession)
     make_remote_dir(folder)
 
     def write(batches):
