@@ -163,7 +163,7 @@ def extract_by_name(spark, sf_dir):
 
 @query("""
 SELECT lang || '/' || doc_id AS path, CASE WHEN doc_id % 9 = 0 THEN 'missing' WHEN doc_id % 9 = 1 THEN 'type'
-  WHEN doc_id % 9 = 2 THEN 'size' WHEN doc_id % 9 = 3 THEN 'octet ' || strlen(left(text, length(text) // 2))
+  WHEN doc_id % 9 = 2 THEN 'size' WHEN doc_id % 9 = 3 THEN CASE WHEN text = '' THEN 'size' ELSE 'octet ' || strlen(left(text, length(text) // 2)) END
   WHEN doc_id % 9 = 4 AND text <> '' THEN 'shorter' ELSE 'same' END AS difference FROM documents""")
 def compare_content(spark, sf_dir):
     """Savesets compared with a tree that was changed after the save, octet by octet."""
