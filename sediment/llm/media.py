@@ -32,10 +32,11 @@ PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 
 REF_SCHEMA = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
-HEADER_SCHEMA = "digest binary, width int, height int, bit_depth int"
+ADDRESS_SCHEMA = "digest binary, shard string, offset long, length long"
+HEADER_SCHEMA = ADDRESS_SCHEMA + ", width int, height int, bit_depth int"
 #: Stored bytes that one task reads, about.
 READ_BYTES = 32 << 20
-FEATURE_SCHEMA = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURE_SCHEMA = HEADER_SCHEMA + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def pad(data: bytes) -> bytes:
@@ -132,8 +133,8 @@ def canonical(refs: DataFrame) -> DataFrame:
     return refs.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
 
 
-def read_ranges(addresses: DataFrame, size, row, schema: str, kinds: list) -> DataFrame:
-    """``row`` of the first ``size(length)`` bytes of each stored payload, by range reads in order of their place."""
+def read_ranges(addresses: DataFrame, row, schema: str, kinds: list) -> DataFrame:
+    """Addresses with ``row(read, length)`` of each stored payload, in order of their place; ``read(at, n)`` is a range read within the payload."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def read(batches):
@@ -144,9 +145,10 @@ def read_ranges(addresses: DataFrame, size, row, schema: str, kinds: list) -> Da
                 if shard != uri:
                     files, path = open_remote(shard)
                     uri, handle = shard, files.open_input_file(path)
-                rows.append((digest, *row(handle.read_at(size(length), offset))))
+                rows.append((digest, shard, offset, length, *row(lambda at, n, offset=offset: handle.read_at(n, offset + at), length)))  # noqa: B023
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.binary(), *kinds], strict=True)], names=names)
+                both = [pa.binary(), pa.string(), pa.int64(), pa.int64(), *kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), both, strict=True)], names=names)
 
     # runs of 8 MB of a shard are a task's unit, so that a large shard is read by many tasks;
     # addresses are small, what they stand for isn't: a number of tasks is given
@@ -156,19 +158,29 @@ def read_ranges(addresses: DataFrame, size, row, schema: str, kinds: list) -> Da
     return dealt.mapInArrow(read, schema)
 
 
+HEADER_KINDS = [pa.int32()] * 3
+
+
+def header_of(read, length: int) -> tuple:
+    return read_header(read(0, HEADER_BYTES))
+
+
 def read_headers(addresses: DataFrame) -> DataFrame:
     """Metadata of each stored payload from its header bytes, whatever its size."""
-    return read_ranges(addresses, lambda length: HEADER_BYTES, read_header, HEADER_SCHEMA, [pa.int32()] * 3)
+    return read_ranges(addresses, header_of, HEADER_SCHEMA, HEADER_KINDS)
 
 
 def read_features(addresses: DataFrame) -> DataFrame:
-    """What needs the whole of each stored payload."""
+    """Metadata by a range read of the header, and what needs the whole of each stored payload by one of the rest."""
 
-    def row(media: bytes) -> tuple:
+    def row(read, length: int) -> tuple:
+        head = read(0, HEADER_BYTES)
+        width, height, depth = read_header(head)
+        media = head + read(HEADER_BYTES, length - HEADER_BYTES)
         samples = decode_png(media)
-        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(samples, *read_header(media[:HEADER_BYTES])[:2])
+        return width, height, depth, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(samples, width, height)
 
-    return read_ranges(addresses, lambda length: length, row, FEATURE_SCHEMA, [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])
+    return read_ranges(addresses, row, FEATURE_SCHEMA, [*HEADER_KINDS, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])
 
 
 def media_columns(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,8 +188,7 @@ def media_columns(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
     small_batches(docs.sparkSession)
     refs = store(docs, folder, id_col, text_col)
     addresses = materialize(canonical(refs), "media-addresses")
-    known = read_headers(addresses).join(read_features(addresses), "digest").join(addresses, "digest")
-    return refs.select("doc_id", "n_bytes", "digest").join(materialize(known, "media-features"), "digest")
+    return refs.select("doc_id", "n_bytes", "digest").join(materialize(read_features(addresses), "media-features"), "digest")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
