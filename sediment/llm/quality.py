@@ -6,7 +6,9 @@ log p_raw``; Gumbel noise keyed by the id makes the k largest perturbed weights
 without replacement in proportion to the weights. k is the number of rows whose weight is above a threshold
 between good and bad labelled rows: the one that tells them best, where a good row lost counts as
 ``GOOD_WORTH`` bad ones kept, moved half-way down to the next lower labelled weight. So k follows from the
-weights of all rows, whatever part of them is labelled.
+weights of all rows, whatever part of them is labelled. Every labelled row counts, in the target model and in the
+threshold: their texts and weights meet the labels in joins that are dealt by the id, and the threshold is
+found over a table of the distinct weights in order.
 
 n-grams: words and word pairs (lower case), and runs of one to three word shapes (case and
 punctuation patterns), hashed into ``buckets`` counts.
@@ -25,16 +27,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sediment.llm.common import materialize, row_key, sliced, small_batches
+from sediment.llm.common import drop_scratch, materialize, maybe_among, partitions_for, row_key, sliced, small_batches
 
 BUCKETS = 10_000
-#: Labelled rows that the target model is fitted on, at most (the least by a hash of the id).
-TARGET_SAMPLE = 20_000
-#: Labelled rows of either kind whose weights give the threshold, at most (those ids have the least hashes).
-THRESHOLD_SAMPLE = 20_000
 #: Bad rows kept that count as much as one good row lost.
 GOOD_WORTH = 10
 #: Longest token kept with its hashes.
@@ -99,25 +97,20 @@ def features(texts: pa.Array, table: TokenTable, buckets: int) -> tuple[np.ndarr
         return np.concatenate([r for r, _ in parts]), np.concatenate([(mixed(h) % np.uint64(buckets)).astype(np.int64) for _, h in parts])
 
 
-def count_models(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str, buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(target counts, raw counts, rows): two vectors of ``buckets`` summed over all tasks."""
+def count_ngrams(texts: DataFrame, buckets: int) -> np.ndarray:
+    """Counts of the n-grams of column ``text``: a vector of ``buckets`` summed over all tasks."""
 
     def count(batches):
-        table, sums, rows_seen = TokenTable(), np.zeros((2, buckets), np.int64), 0
+        table, sums = TokenTable(), np.zeros(buckets, np.int64)
         for batch in sliced(batches, "text"):
-            rows, got = features(batch.column("text"), table, buckets)
-            target = batch.column("target").to_numpy(zero_copy_only=False)
-            sums[1] += np.bincount(got, minlength=buckets)
-            sums[0] += np.bincount(got[target[rows]], minlength=buckets) if len(rows) else 0
-            rows_seen += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets + 1, dtype=np.int32)), pa.array(np.append(sums[0], rows_seen)), pa.array(np.append(sums[1], 0))], names=["bucket", "target", "raw"])
+            sums += np.bincount(features(batch.column("text"), table, buckets)[1], minlength=buckets)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["bucket", "n"])
 
-    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(target_ids.withColumn("_t", F.lit(True))), "_id", "left")
-    parts = marked.select("text", F.coalesce("_t", F.lit(False)).alias("target")).mapInArrow(count, "bucket int, target long, raw long")
-    got = np.zeros((2, buckets + 1), np.int64)
-    for bucket, target, raw in parts.groupBy("bucket").agg(F.sum("target"), F.sum("raw")).collect():
-        got[:, bucket] = target, raw
-    return got[0, :-1], got[1, :-1], int(got[0, -1])
+    got = np.zeros(buckets, np.int64)
+    for bucket, n in texts.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
+        got[bucket] = n
+    return got
 
 
 def radix_cut(rows: DataFrame, column: str, k: int) -> tuple[int, int, int] | None:
@@ -158,7 +151,7 @@ def largest(rows: DataFrame, columns: list[str], k: int) -> Column:
 
 
 def threshold(good: np.ndarray, bad: np.ndarray, worth: float = GOOD_WORTH) -> float:
-    """The weight that best tells good from bad rows, half-way to the next lower labelled weight; of equals the lowest."""
+    """The weight that best tells good from bad rows, half-way to the next lower labelled weight; of equals the lowest. For weights in memory, see :func:`table_threshold`."""
     values = np.unique(np.concatenate([good, bad]))
     lost = np.searchsorted(np.sort(good), values) / len(good)
     kept = 1 - np.searchsorted(np.sort(bad), values) / len(bad)
@@ -166,16 +159,40 @@ def threshold(good: np.ndarray, bad: np.ndarray, worth: float = GOOD_WORTH) -> f
     return float(values[best] if best == 0 else (values[best] + values[best - 1]) / 2)
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, target_sample: int = TARGET_SAMPLE, threshold_sample: int = THRESHOLD_SAMPLE, seed: int = 1) -> DataFrame:
+def table_threshold(told: DataFrame, worth: float = GOOD_WORTH) -> float | None:
+    """:func:`threshold` of all rows (w, good) of a table, None without good or without bad ones.
+
+    The distinct weights are written in ranges; the driver sees one row a range.
+    """
+    counts = told.groupBy("w").agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b"))
+    cuts = materialize(counts.repartitionByRange(partitions_for(told), "w").withColumn("range", F.spark_partition_id()), "quality-weights")
+    ranges = cuts.groupBy("range").agg(F.sum("g"), F.sum("b"), F.max("w")).orderBy("range").collect()
+    before, goods, bads, last = [], 0, 0, None
+    for at, g, b, w in ranges:
+        before.append((at, goods, bads, last))
+        goods, bads, last = goods + g, bads + b, w
+    if not goods or not bads:
+        return None
+    order = Window.partitionBy("range").orderBy("w")
+    lower = order.rowsBetween(Window.unboundedPreceding, -1)
+    lost = (F.col("g0") + F.coalesce(F.sum("g").over(lower), F.lit(0))) / F.lit(float(goods))
+    kept = 1 - (F.col("b0") + F.coalesce(F.sum("b").over(lower), F.lit(0))) / F.lit(float(bads))
+    firsts = told.sparkSession.createDataFrame(before, "range int, g0 long, b0 long, w0 double")
+    cost = cuts.join(F.broadcast(firsts), "range").select((worth * lost + kept).alias("cost"), "w", F.coalesce(F.lag("w").over(order), "w0").alias("next"))
+    best = cost.agg(F.min(F.struct("cost", "w", "next")).alias("x")).first().x
+    drop_scratch(cuts)
+    return best.w if best.next is None else (best.w + best.next) / 2
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, seed: int = 1) -> DataFrame:
     """Scores of every row: _k1, _k2, doc_id, log_weight, gumbel_key, selected."""
     small_batches(docs.sparkSession)
-    good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-
-    def sample(kind: str, most: int) -> DataFrame:
-        return good.filter(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("_id"))
-
-    target_ids = sample("quality > 0", target_sample)
-    target, raw, _ = count_models(docs, target_ids, id_col, text_col, buckets)
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.min("quality") > 0).alias("good"))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
+    # dealt by the id at any size, so that nothing that grows with the labels is broadcast
+    good = known.filter("good").select("_id")
+    target = count_ngrams(maybe_among(texts, good, ["_id"]).join(good.hint("shuffle_hash"), "_id", "left_semi"), buckets)
+    raw = count_ngrams(texts, buckets)
     if not target.sum():
         ratio = np.zeros(buckets)
     else:
@@ -194,14 +211,13 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = scored.withColumn("gumbel_key", F.round(F.col("log_weight") - F.log(-F.log(u)), 9))
     # exact order of the keys as integers: nine decimals of a double
     scored = materialize(scored.withColumn("o", F.round(F.col("gumbel_key") * 1e9).cast("long")), "quality-scores")
-    known = sample("quality > 0", threshold_sample).withColumn("good", F.lit(True)).union(sample("quality <= 0", threshold_sample).withColumn("good", F.lit(False)))
-    # one weight for each labelled id: two times the sample at most
-    told = scored.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "good").agg(F.min("log_weight").alias("w")).select("good", "w").collect()
-    weights = [np.array([r.w for r in told if r.good == kind]) for kind in (True, False)]
-    if not all(map(len, weights)):
+    # one weight for each labelled id
+    told = scored.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "log_weight").join(known.hint("shuffle_hash"), "_id").groupBy("_id", "good").agg(F.min("log_weight").alias("w"))
+    limit = table_threshold(told.select("w", "good"))
+    if limit is None:
         kept = F.lit(True)
     else:
-        k = scored.filter(F.col("log_weight") >= threshold(*weights)).count()
+        k = scored.filter(F.col("log_weight") >= limit).count()
         order = scored.withColumns({"_a": F.bitwise_not("_k1"), "_b": F.bitwise_not("_k2")})  # of ties the least ids
         scored, kept = order, largest(order, ["o", "_a", "_b"], k) if k else F.lit(False)
     return scored.select("_k1", "_k2", "doc_id", "log_weight", "gumbel_key", kept.alias("selected"))

@@ -538,6 +538,43 @@ def test_quality_by_brute_force(spark, docs, rows):
     assert {(r._k1, r._k2) for r in got if r.selected} == {(r._k1, r._k2) for r in keys[:k]} | {(kth._k1, kth._k2)}
 
 
+def many_labelled(spark):
+    """(docs, labels, rows that stay): 20,600 good documents, of which the 600 last by a hash of the id have words of their own, and 900 bad ones."""
+    n, buckets = 21_500, quality.BUCKETS
+    hashed = [r.id for r in spark.range(n).filter("id >= 900").orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(hashed[20_000:])
+    text = lambda i: f"junk word{i % 7}" if i < 900 else "Rare Words, here" if i in late else "common text"
+    docs = [(i, text(i)) for i in range(n)]
+    labels = [(i, int(i >= 900), 0) for i in range(n)]
+    grams = {t: np.bincount(brute_ngrams(t, buckets), minlength=buckets) for t in {t for _, t in docs}}
+    raw = sum(grams[t] for _, t in docs)
+    target = sum(grams[t] for i, t in docs if i >= 900)
+    ratio = np.log((target + 0.5) / (target.sum() + 0.5 * buckets)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * buckets))
+    weight = {t: round(float(g @ ratio), 9) for t, g in grams.items()}
+    limit = quality.threshold(np.array([weight[t] for i, t in docs if i >= 900]), np.array([weight[t] for i, t in docs if i < 900]))
+    k = sum(weight[t] >= limit for _, t in docs)
+    assert 20_600 <= k < n
+    made = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    return *made, {i: weight[t] for i, t in docs}, k
+
+
+def test_quality_learns_from_every_label(spark):
+    docs, labels, weight, k = many_labelled(spark)
+    got = quality.resample(docs, labels).select("doc_id", "log_weight", "selected").collect()
+    assert max(abs(weight[r.doc_id] - r.log_weight) for r in got) < 1e-6
+    assert sum(r.selected for r in got) == k
+
+
+def test_threshold_of_a_table(spark):
+    gen = random.Random(6)
+    for size, spread in ((1, 3), (40, 5), (500, 200)):
+        good, bad = ([gen.randint(-spread, spread) / 7 + shift for _ in range(size)] for shift in (0.5, 0))
+        told = spark.createDataFrame([(w, True) for w in good] + [(w, False) for w in bad], "w double, good boolean")
+        for worth in (1, quality.GOOD_WORTH):
+            assert quality.table_threshold(told, worth) == quality.threshold(np.array(good), np.array(bad), worth)
+        assert quality.table_threshold(told.filter("good")) is None and quality.table_threshold(told.filter("NOT good")) is None
+
+
 def test_largest_rows_with_ties(spark):
     gen = random.Random(4)
     values = [gen.choice([gen.randint(-(1 << 62), 1 << 62), gen.randint(-5, 5), 3]) for _ in range(300)]
