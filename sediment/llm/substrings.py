@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ GRAM = 40
 BLOCK = 16
 CHUNK_BYTES = 4 << 20
 #: Bytes whose identifiers are made at once; they should fit a core's cache.
-STRETCH = 1 << 17
+STRETCH = 1 << 16
 #: Bytes of text whose keys one part answers for, about.
 PART_BYTES = 32 << 20
 
@@ -53,7 +54,8 @@ _A, _B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), n
 def joined(left: np.ndarray, right: np.ndarray, salt: int = 0) -> np.ndarray:
     """Bucket identifiers of longer strings from those at an offset and at a later one."""
     with np.errstate(over="ignore"):
-        out = (left + np.uint64(salt)) * _A
+        out = left + np.uint64(salt)
+        out *= _A
         out ^= right * _B
         out ^= out >> np.uint64(32)
         out *= _C
@@ -66,7 +68,7 @@ class Text:
 
     def __init__(self, data: np.ndarray, top: int = 128):
         self.top = top
-        self.of = {1: joined(data.astype(np.uint64), np.zeros(1, np.uint64), 1)}
+        self.of = {1: joined(np.arange(256, dtype=np.uint64), np.zeros(1, np.uint64), 1).take(data)}
         size = 1
         while size < top:
             wide = self.of[size]
@@ -77,9 +79,11 @@ class Text:
             size *= 2
 
     def grams(self) -> np.ndarray:
-        """Identifiers of GRAM (32 + 8) bytes at each position."""
+        """Identifiers of GRAM (32 + 8) bytes at each position; of the others only those of ``top`` bytes stay."""
         n = max(0, len(self.of[8]) - 32)
-        return joined(self.of[32][:n], self.of[8][32 : 32 + n], 40)
+        out = joined(self.of[32][:n], self.of[8][32 : 32 + n], 40)
+        self.of = {self.top: self.of[self.top]}
+        return out
 
     def at(self, where: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
         """Identifiers of ``size`` bytes (``top`` or more) at some positions."""
@@ -146,8 +150,13 @@ class Chunk:
             new = np.flatnonzero(np.diff(p, prepend=-1))
             yield text, base, low, high, p[new], start[new], start[np.append(new[1:], len(p)) - 1], doc[new], grams[p[new] - base]
 
+    @cached_property
+    def all_stretches(self) -> list[tuple]:
+        """The stretches, made once for the anchors' keys and for their blocks."""
+        return list(self.stretches())
+
     def anchor_keys(self) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.uint64), *(keys for *_, keys in self.stretches())])
+        return np.concatenate([np.empty(0, np.uint64), *(keys for *_, keys in self.all_stretches)])
 
     def blocks(self, anchored: np.ndarray):
         """Blocks of the anchors that are left, stretch by stretch: (text, base, low, high, core, full).
@@ -156,7 +165,7 @@ class Chunk:
         the block; full: a hash of all their bytes, 0 where the document ends before them.
         """
         at = 0
-        for text, base, least_start, end_start, p, first, last, doc, _ in self.stretches():
+        for text, base, least_start, end_start, p, first, last, doc, _ in self.all_stretches:
             left = anchored[at : at + len(p)]
             at += len(p)
             p, first, last, doc = p[left], first[left], last[left], doc[left]
@@ -203,7 +212,8 @@ def round_0(length: int, parts: int):
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield ask_repeats(row["chunk"], 1, Chunk(row["blob"], length).anchor_keys(), parts)
+                keys = [found[-1] for found in Chunk(row["blob"], length).stretches()]
+                yield ask_repeats(row["chunk"], 1, np.concatenate([np.empty(0, np.uint64), *keys]), parts)
 
     return ask
 

@@ -181,6 +181,21 @@ def test_substrings_in_small_stretches():
                     assert anchors.setdefault(s, a) == a  # where a stretch begins does not matter
 
 
+def test_substrings_makes_identifiers_once_a_round(monkeypatch):
+    rng = random.Random(3)
+    data = [bytes(rng.randrange(256) for _ in range(500)) for _ in range(6)] * 2
+    made, own = [], substrings.Text
+
+    class Counted(own):
+        def __init__(self, *a):
+            made.append(len(a[0]))
+            super().__init__(*a)
+
+    monkeypatch.setattr(substrings, "Text", Counted)
+    assert local_repeats(data, 200, chunks=3) == brute_repeats(data, 200)
+    assert len(made) == 4 * 3  # one stretch a chunk and round
+
+
 def brute_groups(rows, threshold=0.8):
     sets = []
     for r in rows:
