@@ -189,9 +189,10 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     small_batches(docs.sparkSession)
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.min("quality") > 0).alias("good"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    # dealt by the id at any size, so that nothing that grows with the labels is broadcast
+    # dealt by the id at any size, so that nothing that grows with the labels is broadcast; an inner join, as Spark would
+    # push a semi join below the filter, which leaves most texts without a good label where they are
     good = known.filter("good").select("_id")
-    target = count_ngrams(maybe_among(texts, good, ["_id"]).join(good.hint("shuffle_hash"), "_id", "left_semi"), buckets)
+    target = count_ngrams(maybe_among(texts, good, ["_id"]).join(good.hint("shuffle_hash"), "_id"), buckets)
     raw = count_ngrams(texts, buckets)
     if not target.sum():
         ratio = np.zeros(buckets)

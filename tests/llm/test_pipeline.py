@@ -1,7 +1,7 @@
 """The pipeline's stages against brute force, and its handling of odd rows."""
 
 import corpus_pipeline
-from tests.llm.test_operators import DOCS, brute_groups, brute_repeats, messy_rows, words
+from tests.llm.test_operators import DOCS, brute_groups, brute_repeats, many_labelled, messy_rows, words
 
 
 def test_stages(spark, tmp_path):
@@ -73,3 +73,9 @@ def test_run_chains_the_stages(spark, tmp_path):
             want[i] = kernel.encode(r.text or "")
     assert want and all(got[i].tokens == t for i, t in want.items())
     assert set(got) <= set(left) and set(got) >= set(want)
+
+
+def test_first_stage_uses_every_label(spark, tmp_path):
+    docs, labels, _, k = many_labelled(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert dict(corpus_pipeline.STAGES)["quality"](spark, docs, str(tmp_path)).count() == k
